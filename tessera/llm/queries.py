@@ -7,6 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import table
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without repeated chunks of lines."""
+    from tessera.llm.linededup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).drop("text")
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text stored as a baseline JPEG and read back."""
     from tessera.llm.media import encode_media, media_features
@@ -14,6 +21,13 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(encode_media(table(spark, sf_dir, "documents")))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the windows of 35 words that start anywhere else."""
+    from tessera.llm.substring import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents"))[0]
+
+
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     """Where the public tokenizer file of that name is."""
     import public_tokenizers
@@ -42,5 +56,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(token_counts(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_media, op4_pieces, op7_simhash, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_lines, op2_media, op3_substrings, op4_pieces, op7_simhash, op8_packing)}
 ORACLES: dict[str, str] = {}
