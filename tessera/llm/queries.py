@@ -42,6 +42,13 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    from tessera.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents."""
     from tessera.llm.simhash import simhash_groups
@@ -56,5 +63,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(token_counts(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_lines, op2_media, op3_substrings, op4_pieces, op7_simhash, op8_packing)}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents."""
+    from tessera.llm.mixing import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lines, op2_media, op3_substrings, op4_pieces, op5_quality, op7_simhash, op8_packing, op9_mixing)}
 ORACLES: dict[str, str] = {}
