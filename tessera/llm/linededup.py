@@ -26,7 +26,7 @@ ROLL = 2
 DIVISOR = 4
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
-SCHEMA = "doc_id long, n_lines long, n_removed long, kept_sha256 string, text string"
+SCHEMA = "row long, doc_id long, n_lines long, n_removed long, kept_sha256 string, text string"
 
 
 def cut_lines(lines: list[bytes], roll: int = ROLL, divisor: int = DIVISOR) -> list[tuple[int, int]]:
@@ -91,20 +91,20 @@ def _chunk_bytes(docs: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, 8 << 20):
+        for batch in slices(batches, 2, 8 << 20):
             rows = []
-            for ident, raw, at in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), batch.column(2).to_pylist()):
+            for row, ident, raw, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), batch.column(3).to_pylist()):
                 lines = raw.split(b"\n")
                 n, kept = len(lines), raw
                 if at:
                     gone = set(at)
                     lines = [x for a, b in cut_lines(lines) if a not in gone for x in lines[a:b]]
                     kept = b"\n".join(lines)
-                rows.append((ident, n, n - len(lines), hashlib.sha256(kept).hexdigest(), kept.decode()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n_lines", "n_removed", "kept_sha256", "text"])
+                rows.append((row, ident, n, n - len(lines), hashlib.sha256(kept).hexdigest(), kept.decode()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["row", "doc_id", "n_lines", "n_removed", "kept_sha256", "text"])
 
-    return docs.select("doc_id", "text", "at").mapInArrow(run, SCHEMA)
+    return docs.select("row", "doc_id", "text", "at").mapInArrow(run, SCHEMA)
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
@@ -119,6 +119,6 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_lines, n_removed, kept_sha256, text): each document without the repeated chunks that are not the first."""
+    """(row, doc_id, n_lines, n_removed, kept_sha256, text): each document without the repeated chunks that are not the first; row is row_key()."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row"))
     return _without(rows.join(repeated_chunks(rows), "row", "left"))

@@ -11,7 +11,7 @@ def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without repeated chunks of lines."""
     from tessera.llm.linededup import dedup_lines
 
-    return dedup_lines(table(spark, sf_dir, "documents")).drop("text")
+    return dedup_lines(table(spark, sf_dir, "documents")).drop("row", "text")
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all vectors with equal labels."""
+    from tessera.llm.covertree import embedding_groups
+
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents."""
     from tessera.llm.simhash import simhash_groups
@@ -70,5 +77,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lines, op2_media, op3_substrings, op4_pieces, op5_quality, op7_simhash, op8_packing, op9_mixing)}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence findings of all documents."""
+    from tessera.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lines, op2_media, op3_substrings, op4_pieces, op5_quality, op6_covertree, op7_simhash, op8_packing, op9_mixing, op10_licenses)}
 ORACLES: dict[str, str] = {}

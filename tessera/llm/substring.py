@@ -35,7 +35,7 @@ WINDOW = 35
 GRAM = 8
 SHARD_SEGMENTS = 6000
 HOT_SEGMENTS = 3000
-SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
+SCHEMA = "row long, doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -224,30 +224,30 @@ def _without(docs: DataFrame, window: int) -> DataFrame:
     """docs (doc_id, text, spans) without the words that the spans' windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, 8 << 20):
+        for batch in slices(batches, 2, 8 << 20):
             rows = []
-            for ident, raw, spans in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), batch.column(2).to_pylist()):
+            for row, ident, raw, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), batch.column(3).to_pylist()):
                 words, kept, at = raw.split(), [], 0
                 for s in sorted((s["first"], s["first"] + s["windows"] + window - 1) for s in spans or ()):
                     kept += words[at : s[0]] if s[0] > at else []
                     at = max(at, s[1])
                 kept += words[at:]
                 body = b" ".join(kept)
-                rows.append((ident, len(words), len(words) - len(kept), hashlib.sha256(body).hexdigest(), body.decode()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n_words", "n_removed", "kept_sha256", "text"])
+                rows.append((row, ident, len(words), len(words) - len(kept), hashlib.sha256(body).hexdigest(), body.decode()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["row", "doc_id", "n_words", "n_removed", "kept_sha256", "text"])
 
     return docs.mapInArrow(run, SCHEMA)
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(all, changed): all has a digest row for each document (doc_id, n_words, n_removed, kept_sha256);
-    changed has (doc_id, ..., text), with the kept words joined by one space, of those that lost words."""
+    changed has (row, doc_id, ..., text), with the kept words joined by one space, of those that lost words."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row"))
     cut = materialize(_cut(rows, window, gram))
     segments = cut.where("anchor is not null").select("row", "first", "windows", "anchor")
     spans, affected = repeated_windows(segments, rows, window)
     grouped = materialize(spans.groupBy("row").agg(F.collect_set(F.struct("first", "windows")).alias("spans")))
-    changed = _without(affected.join(grouped, "row").select("doc_id", "text", "spans"), window)
+    changed = _without(affected.join(grouped, "row").select("row", "doc_id", "text", "spans"), window)
     same = cut.where("anchor is null").join(grouped, "row", "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole").alias("kept_sha256"))
-    return same.unionByName(changed.drop("text")), changed
+    return same.unionByName(changed.drop("row", "text")), changed
