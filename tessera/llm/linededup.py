@@ -113,7 +113,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     again = chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     candidates = materialize(chunks.join(again, "hash").select("row", "line").distinct())
     asked = candidates.groupBy("row").agg(F.collect_list("line").alias("at"))
-    bodies = _chunk_bytes(docs.join(asked, "row"))
+    # texts move by shuffle at every size, so that a small input behaves as a large one
+    bodies = _chunk_bytes(docs.join(asked.hint("merge"), "row"))
     first = bodies.groupBy("hash", "body").agg(F.min(F.struct("doc_id", "row", "line")).alias("first")).select("first.row", "first.line")
     return candidates.join(first, ["row", "line"], "left_anti").groupBy("row").agg(F.collect_list("line").alias("at"))
 
@@ -121,4 +122,4 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, doc_id, n_lines, n_removed, kept_sha256, text): each document without the repeated chunks that are not the first; row is row_key()."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row"))
-    return _without(rows.join(repeated_chunks(rows), "row", "left"))
+    return _without(rows.join(repeated_chunks(rows).hint("merge"), "row", "left"))
