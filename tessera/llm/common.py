@@ -83,7 +83,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n - 1).bit_length())
+    size = max([1 << max(16, (n - 1).bit_length()), *_POWERS])
     if size not in _POWERS:
         _POWERS.clear()
         up = np.full(size, _ODD, np.uint64)

@@ -25,7 +25,7 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the windows of 35 words that start anywhere else."""
     from tessera.llm.substring import dedup_substrings
 
-    return dedup_substrings(table(spark, sf_dir, "documents"))[0]
+    return dedup_substrings(table(spark, sf_dir, "documents")).drop("row", "text")
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:

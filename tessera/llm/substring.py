@@ -4,8 +4,9 @@
    hash. Consecutive windows with one anchor place form a segment (62 words at most). Equal windows
    have equal anchor hashes, and two windows of one segment differ, so only segments whose anchor
    hash occurs again can hold a repeated window; the others are dropped before any text moves.
-2. Equal segments are merged with their count; all windows of a segment that occurs twice are repeated.
-3. The distinct segments go to shards by anchor hash, so equal windows meet in one shard. A shard
+2. Equal segments (two independent 64-bit hashes: of the anchor and of all words) are merged with
+   their count; all windows of a segment that occurs twice are repeated.
+3. Where an anchor has several distinct segments, their words are fetched. The segments go to shards by anchor hash, so equal windows meet in one shard. A shard
    builds an FM-index: a suffix array by prefix doubling, its transform in a wavelet matrix of packed
    bits with popcount ranks. All windows' ends of the segments that occur once are searched backwards
    in lockstep; the matching statistic of an end is the number of words, up to the window, that still
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, mix64, raw_texts, row_key, scan_words, slices
+from tessera.llm.common import _powers, materialize, mix64, raw_texts, row_key, scan_words, slices
 
 WINDOW = 35
 GRAM = 8
@@ -40,10 +41,10 @@ _LOW = np.uint64((1 << 24) - 1)
 
 
 def find_segments(hashes: np.ndarray, counts: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, first word in it, windows, anchor hash) of each segment of many texts' words."""
+    """(text, first word in it, windows, anchor hash, hash of all words) of each segment of many texts' words."""
     n = len(hashes)
     ends = np.cumsum(counts)
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     if n < window:
         return none
     grams = np.zeros(n - gram + 1, np.uint64)
@@ -65,45 +66,45 @@ def find_segments(hashes: np.ndarray, counts: np.ndarray, window: int = WINDOW,
     fresh = np.concatenate(([True], (np.diff(start) != 1) | (np.diff(place) != 0)))
     at = np.flatnonzero(fresh)
     first = start[at]
-    return owner[first], first - (ends - counts)[owner[first]], np.diff(np.concatenate((at, [len(start)]))), grams[place[at]]
+    windows = np.diff(np.concatenate((at, [len(start)])))
+    up, down = _powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * up[:n], out=total[1:])
+    last = first + windows + window - 1
+    digest = mix64((total[last] - total[first]) * down[first] + windows.astype(np.uint64))
+    return owner[first], first - (ends - counts)[owner[first]], windows, grams[place[at]], digest
 
 
 def _cut(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """Segments (row, first, windows, anchor), and one row for each document (anchor null) with its digest when nothing goes."""
+    """(row, first, windows, anchor, digest) of all segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2, 4 << 20):
-            texts, row, ident = raw_texts(batch.column(2)), batch.column(1).to_numpy(), batch.column(0)
-            hashes, _, _, counts, _ = scan_words(texts)
-            text, first, windows, anchor = find_segments(hashes, counts, window, gram)
-            k, m = batch.num_rows, len(text)
-            whole = [hashlib.sha256(b" ".join(x.split())).hexdigest() for x in texts]
-            empty = lambda kind, n: pa.nulls(n, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(row[text]), pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(anchor.view(np.int64)), empty(pa.int64(), m), empty(pa.int64(), m), empty(pa.string(), m)], _CUT_NAMES)
-            yield pa.RecordBatch.from_arrays([pa.array(row), empty(pa.int32(), k), empty(pa.int32(), k), empty(pa.int64(), k), ident, pa.array(counts), pa.array(whole, pa.string())], _CUT_NAMES)
-
-    return docs.select("doc_id", "row", "text").mapInArrow(run, "row long, first int, windows int, anchor long, doc_id long, n_words long, whole string")
-
+        for batch in slices(batches, 1, 4 << 20):
+            hashes, _, _, counts, _ = scan_words(raw_texts(batch.column(1)))
+            text, first, windows, anchor, digest = find_segments(hashes, counts, window, gram)
+            row = batch.column(0).to_numpy()[text]
+            cols = row, first.astype(np.int32), windows.astype(np.int32), anchor.view(np.int64), digest.view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["row", "first", "windows", "anchor", "digest"])
 
-_CUT_NAMES = ["row", "first", "windows", "anchor", "doc_id", "n_words", "whole"]
+    return docs.select("row", "text").mapInArrow(run, "row long, first int, windows int, anchor long, digest long")
 
 
-def _texts_of(docs: DataFrame, window: int) -> DataFrame:
-    """The words of the segments listed in `parts`, with a digest."""
+def _bodies(docs: DataFrame, window: int) -> DataFrame:
+    """The words of the segments listed in `parts`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 4 << 20):
-            cols = [], [], [], [], [], []
+            cols = [], [], [], [], [], [], []
             for row, raw, parts in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), batch.column(2).to_pylist()):
                 words = raw.split()
                 for p in parts:
                     body = b" ".join(words[p["first"] : p["first"] + p["windows"] + window - 1])
-                    for c, x in zip(cols, (row, p["first"], p["windows"], p["anchor"], hashlib.md5(body).digest(), body)):
+                    for c, x in zip(cols, (row, p["first"], p["windows"], p["anchor"], p["n"], p["kinds"], body)):
                         c.append(x)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["row", "first", "windows", "anchor", "digest", "body"])
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["row", "first", "windows", "anchor", "n", "kinds", "body"])
 
-    return docs.select("row", "text", "parts").mapInArrow(run, "row long, first int, windows int, anchor long, digest binary, body binary")
+    return docs.select("row", "text", "parts").mapInArrow(run, "row long, first int, windows int, anchor long, n long, kinds long, body binary")
 
 
 class WaveletMatrix:
@@ -195,29 +196,31 @@ def _search(t: pa.Table, window: int) -> pa.Table:
     return pa.table({"row": t["row"].to_numpy()[segment], "first": (t["first"].to_numpy()[segment] + number).astype(np.int32), "windows": np.ones(len(segment), np.int32)})
 
 
-def repeated_windows(segments: DataFrame, docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(spans, affected): spans (row, first, windows) of repeated windows; affected: the docs (doc_id, row, text) that may hold some."""
-    again = segments.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
-    asked = segments.join(again, "anchor").groupBy("row").agg(F.collect_set(F.struct("first", "windows", "anchor")).alias("parts"), F.count("*").alias("listed"))
-    affected = materialize(docs.join(asked, "row"))
-    placed = materialize(_texts_of(affected, window))
-    unique = materialize(placed.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("first").alias("first"), F.min("windows").alias("windows"), F.first("body").alias("body")))
+def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(row, first, windows): runs of repeated windows. docs: row, text."""
+    segments = materialize(_cut(docs, window, gram))
+    again = materialize(segments.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"))
+    placed = materialize(segments.join(again, "anchor"))
+    unique = materialize(placed.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "windows")).alias("at")))
     # segments that occur twice: every window of every occurrence
     twice = unique.where("n > 1").select("anchor", "digest")
-    spans = placed.select("row", "first", "windows", "anchor", "digest").join(twice, ["anchor", "digest"]).select("row", "first", "windows")
-    # segments that occur once: the shard's index tells
+    spans = placed.join(twice, ["anchor", "digest"]).select("row", "first", "windows")
+    # segments that occur once: their shard's index tells, if their anchor has other segments
     per = unique.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("rarest"))
     mixed = unique.join(per.where((F.col("kinds") > 1) & (F.col("rarest") == 1)), "anchor")
-    shards = max(1, unique.count() // SHARD_SEGMENTS)
-    cool = mixed.where(F.col("kinds") <= HOT_SEGMENTS).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    asked = mixed.groupBy(F.col("at.row").alias("row")).agg(F.collect_set(F.struct("at.first", "at.windows", "anchor", "n", "kinds")).alias("parts"))
+    # texts move by shuffle at every size, so that a small input behaves as a large one
+    bodies = materialize(_bodies(docs.join(asked.hint("merge"), "row"), window))
+    shards = max(1, bodies.count() // SHARD_SEGMENTS)
+    cool = bodies.where(F.col("kinds") <= HOT_SEGMENTS).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     found = cool.select("shard", "row", "first", "windows", "n", "body").groupBy("shard").applyInArrow(lambda t: _search(t, window), "row long, first int, windows int")
     # hot anchors: single windows, counted by digest
     words = F.split(F.col("body").cast("string"), " ", -1)
-    hot = mixed.where(F.col("kinds") > HOT_SEGMENTS).select("row", "first", "n", words.alias("words"), F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("number"))
+    hot = bodies.where(F.col("kinds") > HOT_SEGMENTS).select("row", "first", "n", words.alias("words"), F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("number"))
     single = hot.select("row", (F.col("first") + F.col("number")).alias("first"), "n", F.unhex(F.md5(F.array_join(F.slice("words", F.col("number") + 1, window), " ").cast("binary"))).alias("digest"))
     often = single.groupBy("digest").agg(F.sum("n").alias("times")).where("times > 1").select("digest")
     wide = single.where("n = 1").join(often, "digest").select("row", "first", F.lit(1).alias("windows"))
-    return spans.unionByName(found).unionByName(wide), affected
+    return spans.unionByName(found).unionByName(wide)
 
 
 def _without(docs: DataFrame, window: int) -> DataFrame:
@@ -240,14 +243,9 @@ def _without(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, SCHEMA)
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(all, changed): all has a digest row for each document (doc_id, n_words, n_removed, kept_sha256);
-    changed has (row, doc_id, ..., text), with the kept words joined by one space, of those that lost words."""
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, n_words, n_removed, kept_sha256, text) of each document; row is row_key(), text the kept words joined by one space."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row"))
-    cut = materialize(_cut(rows, window, gram))
-    segments = cut.where("anchor is not null").select("row", "first", "windows", "anchor")
-    spans, affected = repeated_windows(segments, rows, window)
+    spans = repeated_windows(rows.select("row", "text"), window, gram)
     grouped = materialize(spans.groupBy("row").agg(F.collect_set(F.struct("first", "windows")).alias("spans")))
-    changed = _without(affected.join(grouped, "row").select("row", "doc_id", "text", "spans"), window)
-    same = cut.where("anchor is null").join(grouped, "row", "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole").alias("kept_sha256"))
-    return same.unionByName(changed.drop("row", "text")), changed
+    return _without(rows.join(grouped.hint("merge"), "row", "left").select("row", "doc_id", "text", "spans"), window)
