@@ -110,8 +110,10 @@ def _without(docs: DataFrame) -> DataFrame:
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(row, at): for each row that loses chunks, the first lines of those chunks. docs: doc_id, text, row."""
     chunks = materialize(_chunks(docs))
-    again = chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    candidates = materialize(chunks.join(again, "hash").select("row", "line").distinct())
+    # written, so that the join below reads plain exchanges, whose hot keys Spark can split
+    again = materialize(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
+    found = materialize(chunks.join(again, "hash").select("row", "line"))
+    candidates = found.distinct()
     asked = candidates.groupBy("row").agg(F.collect_list("line").alias("at"))
     # texts move by shuffle at every size, so that a small input behaves as a large one
     bodies = _chunk_bytes(docs.join(asked.hint("merge"), "row"))
