@@ -41,7 +41,17 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     gc.collect()  # lets Spark's cleaner drop the shuffle files that only finished jobs needed
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing yet to be run reads."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text_index: int, limit: int) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _powers, materialize, mix64, raw_texts, row_key, scan_words, slices
+from tessera.llm.common import _powers, discard, materialize, mix64, raw_texts, row_key, scan_words, slices
 
 WINDOW = 35
 GRAM = 8
@@ -197,10 +197,11 @@ def _search(t: pa.Table, window: int) -> pa.Table:
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(row, first, windows): runs of repeated windows. docs: row, text."""
+    """(row, spans): runs (first, windows) of repeated windows of each row that has some. docs: row, text."""
     segments = materialize(_cut(docs, window, gram))
     again = materialize(segments.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"))
     placed = materialize(segments.join(again, "anchor"))
+    discard(segments, again)
     unique = materialize(placed.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "windows")).alias("at")))
     # segments that occur twice: every window of every occurrence
     twice = unique.where("n > 1").select("anchor", "digest")
@@ -218,9 +219,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     words = F.split(F.col("body").cast("string"), " ", -1)
     hot = bodies.where(F.col("kinds") > HOT_SEGMENTS).select("row", "first", "n", words.alias("words"), F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("number"))
     single = hot.select("row", (F.col("first") + F.col("number")).alias("first"), "n", F.unhex(F.md5(F.array_join(F.slice("words", F.col("number") + 1, window), " ").cast("binary"))).alias("digest"))
-    often = single.groupBy("digest").agg(F.sum("n").alias("times")).where("times > 1").select("digest")
+    # written, so that the join below reads plain exchanges, whose hot keys Spark can split
+    often = materialize(single.groupBy("digest").agg(F.sum("n").alias("times")).where("times > 1").select("digest"))
     wide = single.where("n = 1").join(often, "digest").select("row", "first", F.lit(1).alias("windows"))
-    return spans.unionByName(found).unionByName(wide)
+    runs = spans.unionByName(found).unionByName(wide)
+    grouped = materialize(runs.groupBy("row").agg(F.collect_set(F.struct("first", "windows")).alias("spans")))
+    discard(placed, unique, bodies, often)
+    return grouped
 
 
 def _without(docs: DataFrame, window: int) -> DataFrame:
@@ -246,6 +251,5 @@ def _without(docs: DataFrame, window: int) -> DataFrame:
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, doc_id, n_words, n_removed, kept_sha256, text) of each document; row is row_key(), text the kept words joined by one space."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row"))
-    spans = repeated_windows(rows.select("row", "text"), window, gram)
-    grouped = materialize(spans.groupBy("row").agg(F.collect_set(F.struct("first", "windows")).alias("spans")))
+    grouped = repeated_windows(rows.select("row", "text"), window, gram)
     return _without(rows.join(grouped.hint("merge"), "row", "left").select("row", "doc_id", "text", "spans"), window)
