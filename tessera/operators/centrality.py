@@ -78,8 +78,9 @@ def betweenness(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     The sizes are checked: a graph that fits is broadcast and its sources are shared out; a larger
     one is walked level by level with joins.
     """
-    nodes = nodes.select("node").distinct()
-    simple = pairs.where("u <> v").select("u", "v").distinct()
+    # counted, then read again: Spark keeps them, and spills what memory can't hold
+    nodes = nodes.select("node").distinct().persist()
+    simple = pairs.where("u <> v").select("u", "v").distinct().persist()
     n, m = nodes.count(), simple.count()
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
     if not m or not scale:

@@ -33,18 +33,28 @@ def _catalogue_rows(catalogue: DataFrame) -> DataFrame:
     return F.broadcast(rows)
 
 
-def find_mentions(docs: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(id, pos, name, entity_type, quote, confidence): catalogue entities in each text. docs: id, text.
+def _padded(text: Column | str) -> Column:
+    """The normalised text between blanks, in which words are found as ' word '."""
+    return F.concat(F.lit(" "), normalize_name(text), F.lit(" "))
 
-    The last alias that matches gives quote and confidence; each document is normalised once and held
-    against the whole catalogue, without a join per alias.
-    """
-    hit = F.filter("terms", lambda t: contains_words(F.col("norm"), t["alias_norm"]))
-    rows = docs.select("id", "text", normalize_name("text").alias("norm")).crossJoin(_catalogue_rows(catalogue)).select("id", "text", F.explode(hit).alias("t"))
-    last = rows.groupBy("id", "t.pos").agg(F.max_by(F.struct("t.name", "t.entity_type", "t.alias", "text"), F.col("t.alias_pos")).alias("m"))
-    return last.select(
-        "id", "pos", F.col("m.name").alias("name"), F.col("m.entity_type").alias("entity_type"), find_quote_window("m.text", "m.alias").alias("quote"), F.when(F.col("m.alias") == F.col("m.name"), 0.85).otherwise(0.78).alias("confidence"), F.col("m.text").alias("text")
-    )
+
+def with_found(docs: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """docs (id, text) with found: for each catalogue entity in the text, the last alias that matches. No shuffle:
+    each document is normalised once and held against the whole catalogue."""
+    hit = F.filter("terms", lambda t: F.contains("padded", F.concat(F.lit(" "), t["alias_norm"], F.lit(" "))))
+    # exploding an array of one keeps the optimizer from putting what it holds inside a lambda
+    padded = docs.select("id", "text", F.explode(F.array(_padded("text"))).alias("padded"))
+    hits = padded.crossJoin(_catalogue_rows(catalogue)).select("id", "text", F.explode(F.array(hit)).alias("hits"))
+    last = F.filter("hits", lambda t, i: (i == F.size("hits") - 1) | (F.get("hits", i + 1)["pos"] != t["pos"]))
+    found = F.transform(last, lambda t: F.struct(t["pos"].alias("pos"), t["name"].alias("name"), t["entity_type"].alias("entity_type"), t["alias"].alias("alias"), F.when(t["alias"] == t["name"], 0.85).otherwise(0.78).alias("confidence")))
+    return hits.select("id", "text", found.alias("found"))
+
+
+def find_mentions(docs: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(id, pos, name, entity_type, quote, confidence, text): catalogue entities in each text; the last alias that
+    matches gives quote and confidence."""
+    rows = with_found(docs, catalogue).select("id", "text", F.explode("found").alias("m"))
+    return rows.select("id", "m.pos", "m.name", "m.entity_type", find_quote_window("text", "m.alias").alias("quote"), "m.confidence", "text")
 
 
 def is_verbatim(quote: Column | str, text: Column | str) -> Column:
@@ -65,14 +75,15 @@ def co_mentions(docs: DataFrame, catalogue: DataFrame) -> DataFrame:
     sentence the first 8 pair up, equal pairs with the same first 80 characters count once, and a
     document has 80 relations at most.
     """
-    own = find_mentions(docs, catalogue).groupBy("id").agg(F.collect_list(F.struct("pos", "confidence")).alias("found"))
     terms = _terms(catalogue).groupBy("pos").agg(F.first("name").alias("name"), F.first("entity_type").alias("entity_type"), F.collect_set("alias_norm").alias("norms"))
     all_terms = F.broadcast(terms.groupBy().agg(F.array_sort(F.collect_list(F.struct("pos", "name", "entity_type", "norms"))).alias("entries")))
-    texts = docs.select("id", F.substring("text", 1, SCANNED_CHARS).alias("head")).join(own, "id").crossJoin(all_terms)
+    own = with_found(docs, catalogue).where(F.size("found") >= 2)
+    texts = own.select("id", F.substring("text", 1, SCANNED_CHARS).alias("head"), F.explode(F.array("found")).alias("found")).crossJoin(all_terms)
     present = F.filter("entries", lambda e: F.exists("found", lambda f: f["pos"] == e["pos"]))
-    lines = texts.select("id", "found", present.alias("entries"), F.posexplode(split_sentences("head")).alias("sentence_no", "sentence"))
-    lines = lines.withColumn("norm", normalize_name("sentence"))
-    inside = F.filter("entries", lambda e: F.exists(e["norms"], lambda a: contains_words(F.col("norm"), a)))
+    known = texts.select("id", "found", "head", F.explode(F.array(present)).alias("entries")).where(F.size("entries") >= 2)
+    both = F.transform(split_sentences("head"), lambda s: F.struct(s.alias("sentence"), _padded(s).alias("padded")))
+    lines = known.select("id", "found", "entries", F.posexplode(both).alias("sentence_no", "s")).select("id", "found", "entries", "sentence_no", "s.sentence", "s.padded")
+    inside = F.filter("entries", lambda e: F.exists(e["norms"], lambda a: F.contains("padded", F.concat(F.lit(" "), a, F.lit(" ")))))
     lines = lines.withColumn("inside", F.slice(inside, 1, ENTITIES_PER_SENTENCE)).where(F.size("inside") >= 2)
     numbers = F.sequence(F.lit(0), F.size("inside") - 1)
     pairs = F.flatten(F.transform(numbers, lambda i: F.transform(F.filter(numbers, lambda j: j > i), lambda j: F.struct(i.alias("i"), j.alias("j")))))

@@ -77,7 +77,8 @@ def small_notes(docs: DataFrame, evidence: DataFrame, betweenness: DataFrame, si
 
 def official_sentences(docs: DataFrame, keywords: list[str]) -> DataFrame:
     """(document_id, sentence_no, quote, words, denies) of the sentences of documents (id, text)."""
-    lines = docs.select(F.col("id").alias("document_id"), "dated", F.posexplode(split_sentences("text")).alias("sentence_no", "quote")).withColumn("norm", normalize_name("quote"))
+    both = F.transform(split_sentences("text"), lambda s: F.struct(s.alias("quote"), normalize_name(s).alias("norm")))
+    lines = docs.select(F.col("id").alias("document_id"), F.posexplode(both).alias("sentence_no", "s")).select("document_id", "sentence_no", "s.quote", "s.norm")
     denies = F.lit(False)
     for k in keywords:
         denies = denies | F.contains("norm", normalize_name(F.lit(k)))

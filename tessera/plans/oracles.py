@@ -57,7 +57,7 @@ mentions AS (SELECT id, text, pos, name, entity_type, CASE WHEN alias = name THE
 quoted AS (SELECT id, text, pos, name, entity_type, confidence,
                   CASE WHEN place = 0 THEN substr(alias, 1, 220) ELSE trim(substr(text, greatest(1, place - 110)::INTEGER, (least(length(text), place - 1 + length(alias) + 110) - greatest(1, place - 110) + 1)::INTEGER)) END AS quote FROM mentions)"""
 
-CO = f"""heads AS (SELECT id, doc_id, source_side, published_at, substr(text, 1, 15000) AS text FROM docs), {SENTENCES.format(source='heads')},
+CO = f"""heads AS (SELECT id, doc_id, source_side, published_at, trim(substr(text, 1, 15000)) AS text FROM docs), {SENTENCES.format(source='heads')},
 snorm AS (SELECT *, {norm('sentence')} AS norm FROM sentences),
 present AS (SELECT DISTINCT s.id, s.sentence_no, s.sentence, m.pos, m.name, m.entity_type, m.confidence
             FROM snorm s JOIN mentions m ON m.id = s.id JOIN normed t ON t.pos = m.pos WHERE contains(' ' || s.norm || ' ', ' ' || t.alias_norm || ' ')),

@@ -116,7 +116,7 @@ def _corpus_relations(spark, sf_dir):
     # read by several branches below; Spark spills what memory can't hold
     found, pairs = extraction.extract_entities(docs, terms).persist(), extraction.co_mentions(docs, terms).persist()
     seeds = resolution.seed_aliases(spark, CONFIG)
-    names = resolution.distinct_names(resolution.mentioned(found, pairs))
+    names = resolution.distinct_names(resolution.mentioned(found, pairs)).persist()
     resolved = resolution.resolve_names(names, seeds, CONFIG.resolver.similarity_threshold).persist()
     return docs, seeds, names, resolved, resolution.resolve_relations(pairs, resolved, docs, f"{extraction.PROVIDER}:{extraction.MODEL}")
 
@@ -151,11 +151,12 @@ def cache_hit_miss(spark, sf_dir):
 
 def replace_documents(spark, sf_dir):
     """Every tenth order replaced by its co-mentions alone."""
-    rel = _evidence(spark, sf_dir)
+    rel = _evidence(spark, sf_dir).persist()  # read by every branch below
     number = F.substring("document_id", 5, 20).cast("long")
     batch = rel.where(number % 10 == 0)
     old = rel.select(*graph_store.EVIDENCE)
     after, ends, observed = graph_store.upsert_relations(old, rel.select(*graph_store.EDGE).distinct(), batch.where("predicate = 'CO_MENTIONED_WITH'"), batch.select("document_id").distinct())
+    after = after.persist()
     edges = graph_store.roll_up_edges(after, ends)
     one = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("item"), "n")
     return one(after, "evidence").unionByName(one(edges, "edges")).unionByName(one(old.select("evidence_id").join(after, "evidence_id", "left_anti"), "removed")).unionByName(one(observed, "observed"))
@@ -237,10 +238,10 @@ def attention(spark, sf_dir):
 def _corpus_graph(spark, sf_dir):
     """(docs, entities, evidence with ends and sides, betweenness) of the corpus adapter."""
     docs, seeds, names, resolved, relations = _corpus_relations(spark, sf_dir)
-    relations = relations.dropDuplicates(["evidence_id"]).persist()
+    docs, relations = docs.persist(), relations.dropDuplicates(["evidence_id"]).persist()
     edges = graph_store.edges_of(relations)
     evidence = relations.join(edges.select("edge_id", "source_sides"), "edge_id")
-    entities = resolution.canonical_entities(names, resolved, seeds)
+    entities = resolution.canonical_entities(names, resolved, seeds).persist()
     scores = centrality.betweenness(entities.select(F.col("canonical_id").alias("node")), centrality.project(edges)).persist()
     return docs.withColumn("dated", F.col("published_at")), entities, evidence, scores
 

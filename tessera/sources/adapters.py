@@ -33,10 +33,22 @@ def catalogue(spark: SparkSession, known=CATALOGUE) -> DataFrame:
     return spark.createDataFrame(rows, "pos int, name string, entity_type string, alias_pos int, alias string")
 
 
+def spread(df: DataFrame, each: int = 8 << 20) -> DataFrame:
+    """Deal a small table of few row groups to all cores; larger ones, which split by themselves, are left alone."""
+    spark = df.sparkSession
+    cores, size = spark.sparkContext.defaultParallelism, 0
+    for f in df.inputFiles():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+        size += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+        if size > each * cores:
+            return df
+    return df.repartition(cores)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as collected documents: one side for each source, dates over 45 days, ranks 1 to 10."""
     number = F.regexp_extract("source", "(\\d+)$", 1).cast("int")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", number.alias("no"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", number.alias("no"))
     side = F.when(F.col("no") % 5 == 0, "official_government").otherwise(F.concat(F.lit("side_"), (F.col("no") % 5).cast("string")))
     url = F.concat(F.lit("doc://"), F.col("doc_id").cast("string"))
     text = normalize_ws("text")
