@@ -36,12 +36,30 @@ WINDOW = 35
 GRAM = 8
 SHARD_SEGMENTS = 6000
 HOT_SEGMENTS = 3000
+BLOCK_WORDS = 1 << 23
 SCHEMA = "row long, doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
 _LOW = np.uint64((1 << 24) - 1)
 
 
-def find_segments(hashes: np.ndarray, counts: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, first word in it, windows, anchor hash, hash of all words) of each segment of many texts' words."""
+def find_segments(hashes: np.ndarray, counts: np.ndarray, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK_WORDS) -> tuple[np.ndarray, ...]:
+    """(text, first word in it, windows, anchor hash, hash of all words) of each segment of many texts' words.
+
+    More words than a block are taken block by block, each window in the block where it starts, so
+    that places fit the low bits of _LOW; a segment on such a border is cut in two.
+    """
+    n, ends = len(hashes), np.cumsum(counts)
+    if n <= block:
+        return _block_segments(hashes, counts, window, gram)
+    found = []
+    for a in range(0, n, block):
+        b = min(n, a + block + window - 1)
+        inside = np.clip(ends, a, b) - np.clip(ends - counts, a, b)
+        text, first, *others = _block_segments(hashes[a:b], inside, window, gram)
+        found.append((text, first + np.maximum(a - (ends - counts)[text], 0), *others))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _block_segments(hashes: np.ndarray, counts: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     n = len(hashes)
     ends = np.cumsum(counts)
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2

@@ -55,6 +55,20 @@ def test_substrings_odd(spark, odd_docs, no_docs):
     assert S.dedup_substrings(no_docs).count() == 0
 
 
+def test_segments_of_long_texts_are_cut_by_blocks():
+    rng = np.random.default_rng(8)
+    counts = np.array([0, 300, 10, 35, 700, 0, 90])
+    hashes = rng.integers(0, 1 << 63, counts.sum()).astype(np.uint64)
+
+    def windows(block):
+        text, first, n, anchor, _ = S.find_segments(hashes, counts, block=block)
+        return sorted((int(t), int(f) + k, int(a)) for t, f, m, a in zip(text, first, n, anchor) for k in range(m))
+
+    whole = windows(1 << 23)
+    assert len(whole) == sum(max(0, c - 34) for c in counts.tolist())
+    assert all(windows(block) == whole for block in (1, 40, 333))
+
+
 def test_fm_index_counts():
     rng = np.random.default_rng(3)
     sequence = np.concatenate([np.append(rng.integers(1, 6, 30), 0) for _ in range(20)])
