@@ -22,14 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import raw_texts, scan_words, slices
+from tessera.llm.common import raw_texts, row_key, scan_words, slices
 
 WORD_BITS = 15
 FACTORS = 8
 SAMPLE_PER_CLASS = 3000
 EPOCHS = 12
 BATCH = 64
-SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 #: Byte classes for the structure statistics.
 _CLASSES = 10
@@ -131,7 +130,7 @@ def fit(index: np.ndarray, value: np.ndarray, sizes: np.ndarray, label: np.ndarr
 
 def _texts(docs: DataFrame) -> DataFrame:
     chars = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(0.0)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(chars, F.lit(0.0)).alias("n_chars"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(chars, F.lit(0.0)).alias("n_chars"), row_key("doc_id", "text").alias("row"))
 
 
 def remainder(column: str = "doc_id", modulus: int = 4):
@@ -170,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame) -> FactorisationMachine | None:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every whole text."""
+    """(doc_id, held_out, score, predicted, row) for every whole text; row is row_key()."""
     model = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: 2^WORD_BITS * (FACTORS + 1) numbers
 
@@ -181,7 +180,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
                 score = np.full(batch.num_rows, 0.5)
             else:
                 score = 1 / (1 + np.exp(-np.clip(m.logits(*features(raw_texts(batch.column(1)), batch.column(2).to_numpy())), -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), batch.column(3)], ["doc_id", "score", "row"])
 
-    scored = _texts(docs).mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", (remainder() == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = _texts(docs).mapInArrow(run, "doc_id long, score double, row long")
+    return scored.select("doc_id", (remainder() == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "row")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tessera.llm.common import materialize, raw_texts, slices
+from tessera.llm.common import materialize, raw_texts, row_key, slices
 from tessera.llm.components import connected_components
 
 TILE = 2048
@@ -58,14 +58,14 @@ def text_fingerprint(raw: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) with fp the signed 64-bit fingerprint of each whole text."""
+    """(doc_id, fp, row) with fp the signed 64-bit fingerprint of each whole text; row is row_key()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 4 << 20):
             fps = np.fromiter((text_fingerprint(x, shingle) for x in raw_texts(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], ["doc_id", "fp", "row"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row")).mapInArrow(run, "doc_id long, fp long, row long")
 
 
 def tile_links(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -168,11 +168,15 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id): component_id is the smallest doc_id reachable over links."""
+    """(doc_id, fingerprint, component_id, row, head): component_id is the smallest doc_id reachable over links.
+
+    row is row_key(). head is the row that stands for the group: the one with the smallest doc_id,
+    and of several texts under it the one with the smallest row; a null doc_id comes last.
+    """
     marked = materialize(fingerprints(docs, shingle, id_col, text_col))
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = materialize(marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")))
     groups = connected_components(fingerprint_links(distinct.select("fp"), radius))
     labelled = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    heads = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    roots = labelled.join(heads, "component").select("fp", "component_id")
-    return marked.join(roots, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    heads = labelled.groupBy("component").agg(F.min("least").alias("least"))
+    roots = labelled.select("fp", "component").join(heads, "component").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("head"))
+    return marked.join(roots, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "row", "head")

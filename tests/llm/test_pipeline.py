@@ -76,6 +76,23 @@ def test_pipeline_odd(spark, odd_docs, no_docs, tmp_path):
         assert CP.run(spark, str(tmp_path / name)).count() >= 0
 
 
+def test_near_copies_keep_null_ids_and_merge_repeated_rows(spark):
+    rows = [(1, "one text of its own"), (1, "another text of its own"), (2, "copied text here"), (3, "copied text here"), (None, "copied text here"), (None, "a text without an id"), (4, "the same row"), (4, "the same row")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row string")
+    kept = CP.near_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted({rows[k] for k in (0, 1, 2, 5, 6)}, key=str)
+
+
+def test_quality_judges_texts_under_one_id_each(spark, tmp_path):
+    good, bad = "a fine sentence about rivers and hills . " * 4, "|| {{ ]] << >> 77 || "
+    rows = [(k, f"{good}{k}" if k % 2 else f"{bad * 4}{k}") for k in range(80)] + [(500, good), (500, bad * 4), (None, good), (None, bad * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(k, k % 2, 0) for k in range(80)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = {(r["doc_id"], r["text"]) for r in CP.quality(spark, docs, str(tmp_path)).collect()}
+    assert kept == {r for r in rows if good in r[1]}
+
+
 def test_one_query_for_each_operator():
     assert [sum(n.startswith(f"op{k}_") for n in queries.QUERIES) for k in range(1, 11)] == [1] * 10
     assert [s.__name__ for _, s in CP.STAGES] == ["quality", "lines", "near_copies", "substrings", "packing"]
