@@ -66,6 +66,15 @@ def test_rare_and_top_words_agree(spark, monkeypatch):
     assert sorted(map(key, X.score_texts(docs).collect())) == whole
 
 
+def test_scores_use_every_exact_count(spark, monkeypatch):
+    """A word's count enters score whether it is broadcast or joined."""
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.001/documents.parquet")
+    key = lambda r: (r["doc_id"], r["n_tokens"], round(r["score"], 6))
+    whole = sorted(map(key, X.score_texts(docs).collect()))
+    monkeypatch.setattr(X, "TOP_WORDS", 40)
+    assert sorted(map(key, X.score_texts(docs).collect())) == whole
+
+
 def test_word_probabilities_sum_to_one_at_most():
     table = np.zeros((2, X.SLOTS), np.float32)
     words = [b"ab", b"abc", b"b", b"ca", X.END]
