@@ -2,7 +2,7 @@ import collections
 import hashlib
 
 import corpus_pipeline as CP
-from tessera.llm import linededup, queries, quality, simhash
+from tessera.llm import linededup, nearcopies, queries, quality, simhash
 from tests.conftest import TESTDATA
 
 SF = f"{TESTDATA}/sf0.001"
@@ -84,6 +84,35 @@ def test_near_copies_keep_null_ids_and_merge_repeated_rows(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted({rows[k] for k in (0, 1, 2, 5, 6)}, key=str)
 
 
+def test_near_copies_of_similarity_0_8(spark, monkeypatch):
+    """Groups of five-word shingle sets of similarity 0.8 or more, against all pairs; with few and with many comparisons at once."""
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet").select("doc_id", "text")
+    grams = {}
+    for r in docs.collect():
+        w = (r["text"] or "").encode().lower().split()
+        grams[r["doc_id"]] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    comp = {i: i for i in grams}
+    ids = sorted(grams, key=lambda i: len(grams[i]))
+    links = []
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if len(grams[i]) < 0.8 * len(grams[j]):
+                break
+            common = len(grams[i] & grams[j])
+            if common >= 0.8 * (len(grams[i]) + len(grams[j]) - common):
+                links.append((i, j))
+    for _ in range(len(ids)):
+        before = dict(comp)
+        for i, j in links:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+        if comp == before:
+            break
+    expected = {i for i in comp if comp[i] == i}
+    assert {r["doc_id"] for r in CP.near_copies(spark, docs, SF).collect()} == expected
+    monkeypatch.setattr(nearcopies, "FEW", 0)
+    assert {r["doc_id"] for r in CP.near_copies(spark, docs, SF).collect()} == expected
+
+
 def test_quality_judges_texts_under_one_id_each(spark, tmp_path):
     good, bad = "a fine sentence about rivers and hills . " * 4, "|| {{ ]] << >> 77 || "
     rows = [(k, f"{good}{k}" if k % 2 else f"{bad * 4}{k}") for k in range(80)] + [(500, good), (500, bad * 4), (None, good), (None, bad * 4)]
