@@ -1,6 +1,8 @@
 """License scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are lines; a line of more than SPAN words is read in overlapping spans. A paragraph's word
+Paragraphs are lines; a line of more than SPAN words is read in overlapping spans. So is each run of
+lines without a blank one between them, comment marks left out, so that notices wrapped over lines are
+found; what such spans find counts for the line they begin in. A span's word
 1- to 3-grams, lower-cased and hashed, feed a sparse multinomial logistic regression over licence
 families and one class for everything else. It is trained on the driver from varied copies of
 TEMPLATES and a bounded sample of corpus paragraphs that resemble none. A temperature fitted on
@@ -52,6 +54,35 @@ FAMILIES = (OTHER, *sorted(TEMPLATES))
 SCHEMA = "doc_id long, n_paragraphs long, n_licensed long, families string, n_unknown long, n_confirmed long, confidence double, first_paragraph long"
 
 
+def wrapped_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As spans_of(), for spans that run over the ends of lines: those of each run of non-blank lines, by the line they begin in."""
+    hashes, start, end, counts, joined = scan_words(texts, lower=True)
+    z = np.zeros(0, np.int64)
+    if not len(hashes):
+        return hashes, z, z, z, z
+    doc = np.repeat(np.arange(len(texts)), counts)
+    data = np.frombuffer(joined, np.uint8)
+    line = np.searchsorted(np.flatnonzero(data == 10), start)
+    head = np.concatenate(([True], np.diff(line) != 0))
+    number = np.cumsum(head) - 1
+    number -= number[np.searchsorted(doc, doc)]
+    # a word of comment marks alone that begins a line is none; a line of marks alone is blank
+    letters = np.concatenate(([0], np.cumsum(~np.isin(data, np.frombuffer(b"#*/;-!%<>|", np.uint8)))))
+    word = ~(head & (letters[end] == letters[start]))
+    hashes, doc, line, number = hashes[word], doc[word], line[word], number[word]
+    if not len(hashes):
+        return hashes, z, z, z, z
+    run = np.concatenate(([True], (np.diff(line) > 1) | (np.diff(doc) != 0)))
+    at = np.flatnonzero(run)
+    size = np.diff(np.concatenate((at, [len(hashes)])))
+    lines = np.add.reduceat(np.concatenate(([1], (np.diff(line) != 0).astype(np.int64))) | run, at)
+    at, size = at[lines > 1], size[lines > 1]  # a run of one line is a paragraph as it is
+    pieces = np.maximum(1, -(-(size - SPAN) // STEP) + 1)
+    k = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first = np.repeat(at, pieces) + k * STEP
+    return hashes, doc[first], number[first], first, np.minimum(SPAN, np.repeat(at + size, pieces) - first)
+
+
 def spans_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, text, paragraph, first word, words) of each span of each non-blank line."""
     hashes, start, _, counts, joined = scan_words(texts, lower=True)
@@ -200,9 +231,11 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None, id_col: st
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
         for batch in slices(batches, 1, 1 << 20):
-            hashes, doc, number, first, words = spans_of(raw_texts(batch.column(1)))
+            raw = raw_texts(batch.column(1))
             found: dict[int, dict[int, tuple[float, int, bool]]] = {}
-            if len(doc):
+            for hashes, doc, number, first, words in (whole := spans_of(raw), wrapped_spans(raw)):
+                if not len(doc):
+                    continue
                 p = m.probabilities(*gram_features(hashes, first, words))
                 likely = np.flatnonzero(p[:, 0] < 0.5)
                 for s in likely.tolist():
@@ -211,10 +244,13 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None, id_col: st
                     grams = _bigrams(hashes[first[s] : first[s] + words[s]])
                     confirmed = not unknown and any(k == family and len(grams & g) >= CONTAINMENT * len(g) for k, g in templates)
                     of = found.setdefault(int(doc[s]), {})
+                    if hashes is not whole[0] and not confirmed:
+                        continue  # each line has been judged by itself; a wrapped span counts if it is confirmed
                     old = of.get(int(number[s]))
                     new = (sure, 0 if unknown else family, confirmed)
                     if old is None or (new[2], new[0]) > (old[2], old[0]):
                         of[int(number[s])] = new
+            doc, number = whole[1], whole[2]
             paragraphs = np.bincount(doc[np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(number) != 0)))], minlength=batch.num_rows) if len(doc) else np.zeros(batch.num_rows, np.int64)
             rows = []
             for k, ident in enumerate(batch.column(0).to_pylist()):

@@ -169,6 +169,19 @@ def test_license_variants_and_unknown(spark):
     assert [r["families"] for r in sorted(rows, key=lambda r: r["doc_id"])] == ["apache-2.0", "mit", "", "cc-by-sa", "lgpl"]
 
 
+def test_licenses_wrapped_over_lines(spark):
+    model = LI.fit([f"plain prose number {k} about weather and other things".encode() for k in range(300)])
+    texts = [
+        "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation.",
+        "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files, to deal\n# in the Software without restriction.\n\ncode = 1",
+        " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met.",
+        "Redistribution and use in source and binary forms, with\n\nor without modification, are permitted provided\n\nthat the following conditions are met.",
+    ]
+    rows = sorted(LI.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect(), key=lambda r: r["doc_id"])
+    assert [r["families"] for r in rows] == ["gpl", "mit", "bsd", ""]
+    assert [r["n_paragraphs"] for r in rows] == [3, 4, 3, 3] and [r["n_confirmed"] > 0 for r in rows] == [True] * 3 + [False]
+
+
 def test_licenses_odd(spark, odd_docs, no_docs):
     rows = LI.scan_licenses(odd_docs).collect()
     assert len(rows) == odd_docs.count() and {r["families"] for r in rows} == {""}
