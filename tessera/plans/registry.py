@@ -261,7 +261,7 @@ def morning_readings(spark, sf_dir):
 
 
 def fuzzy_resolution(spark, sf_dir):
-    """Customer and supplier names with typing errors, resolved to each other."""
+    """The 25 nation names and one misspelt copy of each, at every scale, resolved to each other."""
     some = table(spark, sf_dir, "nation").select(F.concat(F.lit("Republic of "), "n_name").alias("name"), F.col("n_nationkey").cast("string").alias("id"))
     wrong = some.select(F.concat(F.substring("name", 1, 5), F.lit("x"), F.substring("name", 6, 99)).alias("name"), F.concat(F.lit("9"), "id").alias("id"))
     both = some.unionByName(wrong).select("id", "name", F.lit("place").alias("entity_type"), F.lit(0.5).alias("confidence"), F.struct(*(F.lit(0).cast("long").alias(f"o{k}") for k in range(5))).alias("ord"))
