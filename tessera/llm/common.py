@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 #: ASCII white space of the word pattern [^\x20\x09-\x0D]+
 SPACES = b" \t\n\x0b\x0c\r"
@@ -23,13 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one is set only where none is."""
+    """The shared folder of spark.checkpoint.dir. A folder of this machine would be lost on other executors, so none is made up."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = context.get() if context.isDefined() else tempfile.mkdtemp(prefix="tessera-")
+    kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not found and kept.isDefined():
+        found = kept.get()
+        spark.conf.set("spark.checkpoint.dir", found)
+    if not found and spark.sparkContext.master.startswith("local"):
+        found = tempfile.mkdtemp(prefix="tessera-")  # one machine runs the driver and all tasks
         spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    if not found:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if kept.isEmpty():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
@@ -73,8 +79,9 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 
 
 def row_key(id_col: str, text_col: str):
-    """A 64-bit key of a row: rows that repeat both id and text share it, and count as one document."""
-    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00null")), F.coalesce(F.col(text_col), F.lit("")))
+    """A 128-bit key of a row: rows that repeat both id and text share it, and count as one document."""
+    ident = F.coalesce(F.col(id_col).cast("string"), F.lit("\x00null"))
+    return F.unhex(F.md5(F.concat_ws("\n", ident, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("binary")))
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -104,6 +111,27 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
+def word_hashes(joined: bytes, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: eight bytes at a time, so words of up to eight bytes and one length never collide."""
+    step = np.ndarray((len(joined) + 1,), "<u8", joined + bytes(8), strides=(1,))
+    size = end - start
+    out = size.astype(np.uint64) * _ODD + np.uint64(seed)
+    at, more = np.arange(len(start)), size
+    for k in range(0, 64, 8):
+        if k:
+            at = at[more > 8]
+            more = size[at] - k
+        if not len(at):
+            break
+        part = step[start[at] + k]
+        short = np.flatnonzero(more < 8)
+        part[short] &= (np.uint64(1) << (more[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[at] = mix64(out[at] ^ part) + np.uint64(k)
+    for w in np.flatnonzero(size > 64).tolist():
+        out[w] = (int(out[w]) + xxh64_intdigest(joined[start[w] : end[w]], seed)) & 0xFFFFFFFFFFFFFFFF
+    return mix64(out)
+
+
 def scan_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """Words of many texts at once.
 
@@ -120,11 +148,7 @@ def scan_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.
     word = ~((data == 32) | ((data >= 9) & (data <= 13)))
     edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).view(np.int8)))
     start, end = edge[0::2], edge[1::2]
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    hashes = mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     bounds = np.concatenate(([0], np.cumsum(lengths + 1)))
     counts = np.diff(np.searchsorted(start, bounds))
-    return hashes, start, end, counts, joined
+    return word_hashes(joined, start, end), start, end, counts, joined

@@ -26,7 +26,7 @@ ROLL = 2
 DIVISOR = 4
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
-SCHEMA = "row long, doc_id long, n_lines long, n_removed long, kept_sha256 string, text string"
+SCHEMA = "row binary, doc_id long, n_lines long, n_removed long, kept_sha256 string, text string"
 
 
 def cut_lines(lines: list[bytes], roll: int = ROLL, divisor: int = DIVISOR) -> list[tuple[int, int]]:
@@ -65,9 +65,9 @@ def _chunks(docs: DataFrame) -> DataFrame:
                             rows.append(row)
                             at.append(a)
                             hashes.append(_signed(xxh64_intdigest(b"\n".join(lines[a:b]))))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(at, pa.int32()), pa.array(hashes, pa.int64())], ["row", "line", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(at, pa.int32()), pa.array(hashes, pa.int64())], ["row", "line", "hash"])
 
-    return docs.select("row", "text").mapInArrow(run, "row long, line int, hash long")
+    return docs.select("row", "text").mapInArrow(run, "row binary, line int, hash long")
 
 
 def _chunk_bytes(docs: DataFrame) -> DataFrame:
@@ -83,10 +83,10 @@ def _chunk_bytes(docs: DataFrame) -> DataFrame:
                         body = b"\n".join(lines[a:b])
                         rows.append((_signed(xxh64_intdigest(body)), body, ident, row, a))
             cols = list(zip(*rows)) or [()] * 5
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["hash", "body", "doc_id", "row", "line"])
 
-    return docs.select("doc_id", "row", "text", "at").mapInArrow(run, "hash long, body binary, doc_id long, row long, line int")
+    return docs.select("doc_id", "row", "text", "at").mapInArrow(run, "hash long, body binary, doc_id long, row binary, line int")
 
 
 def _without(docs: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def _without(docs: DataFrame) -> DataFrame:
                     lines = [x for a, b in cut_lines(lines) if a not in gone for x in lines[a:b]]
                     kept = b"\n".join(lines)
                 rows.append((row, ident, n, n - len(lines), hashlib.sha256(kept).hexdigest(), kept.decode()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["row", "doc_id", "n_lines", "n_removed", "kept_sha256", "text"])
 
     return docs.select("row", "doc_id", "text", "at").mapInArrow(run, SCHEMA)
@@ -115,10 +115,11 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     found = materialize(chunks.join(again, "hash").select("row", "line"))
     candidates = found.distinct()
     asked = candidates.groupBy("row").agg(F.collect_list("line").alias("at"))
-    # texts move by shuffle at every size, so that a small input behaves as a large one
-    bodies = _chunk_bytes(docs.join(asked.hint("merge"), "row"))
+    # texts move by shuffle at every size, so that a small input behaves as a large one; of repeated rows one moves
+    bodies = _chunk_bytes(docs.dropDuplicates(["row"]).join(asked.hint("merge"), "row"))
     first = bodies.groupBy("hash", "body").agg(F.min(F.struct("doc_id", "row", "line")).alias("first")).select("first.row", "first.line")
-    return candidates.join(first, ["row", "line"], "left_anti").groupBy("row").agg(F.collect_list("line").alias("at"))
+    # written, so that the join with all rows reads plain exchanges, whose repeated rows Spark can split
+    return materialize(candidates.join(first, ["row", "line"], "left_anti").groupBy("row").agg(F.collect_list("line").alias("at")))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -182,5 +182,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
                 score = 1 / (1 + np.exp(-np.clip(m.logits(*features(raw_texts(batch.column(1)), batch.column(2).to_numpy())), -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), batch.column(3)], ["doc_id", "score", "row"])
 
-    scored = _texts(docs).mapInArrow(run, "doc_id long, score double, row long")
+    scored = _texts(docs).mapInArrow(run, "doc_id long, score double, row binary")
     return scored.select("doc_id", (remainder() == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "row")

@@ -4,8 +4,9 @@
    hash. Consecutive windows with one anchor place form a segment (62 words at most). Equal windows
    have equal anchor hashes, and two windows of one segment differ, so only segments whose anchor
    hash occurs again can hold a repeated window; the others are dropped before any text moves.
-2. Equal segments (two independent 64-bit hashes: of the anchor and of all words) are merged with
-   their count; all windows of a segment that occurs twice are repeated.
+2. Equal segments are merged with their count; all windows of a segment that occurs twice are
+   repeated. Segments are equal if a 128-bit digest of their words' bytes is: two sums over two
+   independent 64-bit hashes of each word's bytes, of which one is exact for words of up to 8 bytes.
 3. Where an anchor has several distinct segments, their words are fetched. The segments go to shards by anchor hash, so equal windows meet in one shard. A shard
    builds an FM-index: a suffix array by prefix doubling, its transform in a wavelet matrix of packed
    bits with popcount ranks. All windows' ends of the segments that occur once are searched backwards
@@ -30,39 +31,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _powers, discard, materialize, mix64, raw_texts, row_key, scan_words, slices
+from tessera.llm.common import _powers, discard, materialize, mix64, raw_texts, row_key, scan_words, slices, word_hashes
 
 WINDOW = 35
 GRAM = 8
 SHARD_SEGMENTS = 6000
 HOT_SEGMENTS = 3000
 BLOCK_WORDS = 1 << 23
-SCHEMA = "row long, doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
+#: Keys that hold more than one in so many rows meet their partners by broadcast; there are at most so many of them.
+HOT_KEYS = 1000
+SECOND_SEED = 0x5EED
+SCHEMA = "row binary, doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
 _LOW = np.uint64((1 << 24) - 1)
 
 
-def find_segments(hashes: np.ndarray, counts: np.ndarray, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK_WORDS) -> tuple[np.ndarray, ...]:
-    """(text, first word in it, windows, anchor hash, hash of all words) of each segment of many texts' words.
+def find_segments(hashes: np.ndarray, counts: np.ndarray, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK_WORDS, second: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(text, first word in it, windows, anchor hash, two hashes of all words) of each segment of many texts' words.
+
+    second holds other hashes of the words, for the second of the two.
 
     More words than a block are taken block by block, each window in the block where it starts, so
     that places fit the low bits of _LOW; a segment on such a border is cut in two.
     """
     n, ends = len(hashes), np.cumsum(counts)
+    second = hashes if second is None else second
     if n <= block:
-        return _block_segments(hashes, counts, window, gram)
+        return _block_segments(hashes, second, counts, window, gram)
     found = []
     for a in range(0, n, block):
         b = min(n, a + block + window - 1)
         inside = np.clip(ends, a, b) - np.clip(ends - counts, a, b)
-        text, first, *others = _block_segments(hashes[a:b], inside, window, gram)
+        text, first, *others = _block_segments(hashes[a:b], second[a:b], inside, window, gram)
         found.append((text, first + np.maximum(a - (ends - counts)[text], 0), *others))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _block_segments(hashes: np.ndarray, counts: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+def _block_segments(hashes: np.ndarray, second: np.ndarray, counts: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     n = len(hashes)
     ends = np.cumsum(counts)
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64))
     if n < window:
         return none
     grams = np.zeros(n - gram + 1, np.uint64)
@@ -86,10 +93,11 @@ def _block_segments(hashes: np.ndarray, counts: np.ndarray, window: int, gram: i
     first = start[at]
     windows = np.diff(np.concatenate((at, [len(start)])))
     up, down = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * up[:n], out=total[1:])
-    last = first + windows + window - 1
-    digest = mix64((total[last] - total[first]) * down[first] + windows.astype(np.uint64))
+    last, digest = first + windows + window - 1, np.empty((len(first), 2), np.uint64)
+    for k, words in enumerate((hashes, second)):
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(words * up[:n], out=total[1:])
+        digest[:, k] = mix64((total[last] - total[first]) * down[first] + windows.astype(np.uint64))
     return owner[first], first - (ends - counts)[owner[first]], windows, grams[place[at]], digest
 
 
@@ -98,13 +106,15 @@ def _cut(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 4 << 20):
-            hashes, _, _, counts, _ = scan_words(raw_texts(batch.column(1)))
-            text, first, windows, anchor, digest = find_segments(hashes, counts, window, gram)
-            row = batch.column(0).to_numpy()[text]
-            cols = row, first.astype(np.int32), windows.astype(np.int32), anchor.view(np.int64), digest.view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["row", "first", "windows", "anchor", "digest"])
+            hashes, start, end, counts, joined = scan_words(raw_texts(batch.column(1)))
+            text, first, windows, anchor, digest = find_segments(hashes, counts, window, gram, second=word_hashes(joined, start, end, SECOND_SEED))
+            row = batch.column(0).take(pa.array(text))
+            cols = first.astype(np.int32), windows.astype(np.int32), anchor.view(np.int64)
+            offsets = pa.py_buffer(np.arange(0, 16 * len(text) + 1, 16, dtype=np.int32))
+            both = pa.Array.from_buffers(pa.binary(), len(text), [None, offsets, pa.py_buffer(digest.tobytes())])
+            yield pa.RecordBatch.from_arrays([row, *map(pa.array, cols), both], ["row", "first", "windows", "anchor", "digest"])
 
-    return docs.select("row", "text").mapInArrow(run, "row long, first int, windows int, anchor long, digest long")
+    return docs.select("row", "text").mapInArrow(run, "row binary, first int, windows int, anchor long, digest binary")
 
 
 def _bodies(docs: DataFrame, window: int) -> DataFrame:
@@ -119,10 +129,10 @@ def _bodies(docs: DataFrame, window: int) -> DataFrame:
                     body = b" ".join(words[p["first"] : p["first"] + p["windows"] + window - 1])
                     for c, x in zip(cols, (row, p["first"], p["windows"], p["anchor"], p["n"], p["kinds"], body)):
                         c.append(x)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["row", "first", "windows", "anchor", "n", "kinds", "body"])
 
-    return docs.select("row", "text", "parts").mapInArrow(run, "row long, first int, windows int, anchor long, n long, kinds long, body binary")
+    return docs.select("row", "text", "parts").mapInArrow(run, "row binary, first int, windows int, anchor long, n long, kinds long, body binary")
 
 
 class WaveletMatrix:
@@ -211,7 +221,7 @@ def shard_windows(bodies: list[bytes], windows: np.ndarray, once: np.ndarray, wi
 def _search(t: pa.Table, window: int) -> pa.Table:
     windows, n = t["windows"].to_numpy().astype(np.int64), t["n"].to_numpy()
     segment, number = shard_windows(t["body"].to_pylist(), windows, n == 1, window)
-    return pa.table({"row": t["row"].to_numpy()[segment], "first": (t["first"].to_numpy()[segment] + number).astype(np.int32), "windows": np.ones(len(segment), np.int32)})
+    return pa.table({"row": t["row"].combine_chunks().take(pa.array(segment)), "first": (t["first"].to_numpy()[segment] + number).astype(np.int32), "windows": np.ones(len(segment), np.int32)})
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -222,17 +232,21 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     discard(segments, again)
     unique = materialize(placed.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "windows")).alias("at")))
     # segments that occur twice: every window of every occurrence
-    twice = unique.where("n > 1").select("anchor", "digest")
-    spans = placed.join(twice, ["anchor", "digest"]).select("row", "first", "windows")
+    twice = unique.where("n > 1")
+    most = placed.count() // HOT_KEYS + 1
+    hot_keys = F.broadcast(twice.where(F.col("n") > most).select("anchor", "digest", F.lit(True).alias("hot")))  # HOT_KEYS rows at most
+    marked = placed.join(hot_keys, ["anchor", "digest"], "left")
+    few = materialize(twice.where(F.col("n") <= most).select("anchor", "digest"))
+    spans = marked.where("hot").select("row", "first", "windows").unionByName(marked.where("hot is null").join(few, ["anchor", "digest"]).select("row", "first", "windows"))
     # segments that occur once: their shard's index tells, if their anchor has other segments
     per = unique.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("rarest"))
     mixed = unique.join(per.where((F.col("kinds") > 1) & (F.col("rarest") == 1)), "anchor")
     asked = mixed.groupBy(F.col("at.row").alias("row")).agg(F.collect_set(F.struct("at.first", "at.windows", "anchor", "n", "kinds")).alias("parts"))
-    # texts move by shuffle at every size, so that a small input behaves as a large one
-    bodies = materialize(_bodies(docs.join(asked.hint("merge"), "row"), window))
+    # texts move by shuffle at every size, so that a small input behaves as a large one; of repeated rows one moves
+    bodies = materialize(_bodies(docs.dropDuplicates(["row"]).join(asked.hint("merge"), "row"), window))
     shards = max(1, bodies.count() // SHARD_SEGMENTS)
     cool = bodies.where(F.col("kinds") <= HOT_SEGMENTS).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    found = cool.select("shard", "row", "first", "windows", "n", "body").groupBy("shard").applyInArrow(lambda t: _search(t, window), "row long, first int, windows int")
+    found = cool.select("shard", "row", "first", "windows", "n", "body").groupBy("shard").applyInArrow(lambda t: _search(t, window), "row binary, first int, windows int")
     # hot anchors: single windows, counted by digest
     words = F.split(F.col("body").cast("string"), " ", -1)
     hot = bodies.where(F.col("kinds") > HOT_SEGMENTS).select("row", "first", "n", words.alias("words"), F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("number"))
@@ -242,7 +256,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     wide = single.where("n = 1").join(often, "digest").select("row", "first", F.lit(1).alias("windows"))
     runs = spans.unionByName(found).unionByName(wide)
     grouped = materialize(runs.groupBy("row").agg(F.collect_set(F.struct("first", "windows")).alias("spans")))
-    discard(placed, unique, bodies, often)
+    discard(placed, unique, few, bodies, often)
     return grouped
 
 
@@ -260,7 +274,7 @@ def _without(docs: DataFrame, window: int) -> DataFrame:
                 kept += words[at:]
                 body = b" ".join(kept)
                 rows.append((row, ident, len(words), len(words) - len(kept), hashlib.sha256(body).hexdigest(), body.decode()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["row", "doc_id", "n_words", "n_removed", "kept_sha256", "text"])
 
     return docs.mapInArrow(run, SCHEMA)

@@ -69,6 +69,36 @@ def test_segments_of_long_texts_are_cut_by_blocks():
     assert all(windows(block) == whole for block in (1, 40, 333))
 
 
+def test_equal_sums_of_bytes_are_no_repeats(spark):
+    """Words of 1,024 bytes whose polynomial sums modulo 2^64 agree (Thue-Morse) are different words."""
+    word = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    prose = [f"w{k}" for k in range(34)]
+    docs = [(1, " ".join([*prose, word])), (2, " ".join([*prose, word.translate({97: "b", 98: "a"})]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(tuple(r) for r in S.dedup_substrings(df).drop("row", "text").collect()) == brute_windows(docs, 35)
+
+
+def test_word_hashes_tell_words_apart():
+    words = [b"", b"\0", b"a", b"a\0", b"aaaaaaaa", b"aaaaaaaab", b"b" * 64, b"b" * 65, b"b" * 66, b"c" * 1000, b"c" * 1001]
+    joined, end = b"".join(words), np.cumsum([len(w) for w in words])
+    for seed in (0, 9):
+        hashes = S.word_hashes(joined, end - [len(w) for w in words], end, seed)
+        assert len(set(hashes.tolist())) == len(words)
+        alone = [int(S.word_hashes(w, np.array([0]), np.array([len(w)]), seed)[0]) for w in words]
+        assert hashes.tolist() == alone
+
+
+def test_many_repeated_rows(spark):
+    """A row that is repeated very often, and one that shares a passage with it."""
+    text = " ".join(f"w{k}" for k in range(60))
+    df = spark.range(20000).selectExpr("7L AS doc_id", f"'{text}' AS text").unionByName(spark.createDataFrame([(8, "x " + text), (9, "alone " * 3)], "doc_id long, text string"))
+    got = {tuple(r) for r in S.dedup_substrings(df).select("doc_id", "n_words", "n_removed").collect()}
+    assert got == {(7, 60, 60), (8, 61, 60), (9, 3, 0)}
+    lines = df.selectExpr("doc_id", "replace(text, ' ', '\n') AS text")
+    kept = L.dedup_lines(lines).groupBy("doc_id", "n_removed").count().collect()
+    assert {r["doc_id"]: r["count"] for r in kept} == {7: 20000, 8: 1, 9: 1} and {r["n_removed"] for r in kept if r["doc_id"] == 7} == {0}
+
+
 def test_fm_index_counts():
     rng = np.random.default_rng(3)
     sequence = np.concatenate([np.append(rng.integers(1, 6, 30), 0) for _ in range(20)])

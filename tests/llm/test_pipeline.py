@@ -1,6 +1,9 @@
 import collections
 import hashlib
 
+import numpy as np
+import pytest
+
 import corpus_pipeline as CP
 from tessera.llm import linededup, nearcopies, queries, quality, simhash
 from tests.conftest import TESTDATA
@@ -8,6 +11,34 @@ from tests.conftest import TESTDATA
 SF = f"{TESTDATA}/sf0.001"
 
 
+def groups_of(nodes, links):
+    """The least node that each one reaches."""
+    comp = {i: i for i in nodes}
+    while True:
+        before = dict(comp)
+        for i, j in links:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+        if comp == before:
+            return comp
+
+
+def brute_heads(texts):
+    """The first of each group of texts whose five-word shingle sets have a similarity of 0.8 or more, by comparing all pairs."""
+    grams = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        grams[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    ids, links = sorted(grams, key=lambda i: len(grams[i])), []
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if len(grams[i]) < 0.8 * len(grams[j]):
+                break
+            common = len(grams[i] & grams[j])
+            if common >= 0.8 * (len(grams[i]) + len(grams[j]) - common):
+                links.append((i, j))
+    return {i for i, c in groups_of(grams, links).items() if c == i}
+
+
 def test_stages_against_brute_force(spark):
     """Each stage on all that its predecessor kept, held against a plain version."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -33,14 +64,9 @@ def test_stages_against_brute_force(spark):
     docs = CP.materialize(stages["line dedup"](spark, docs, SF))
     assert docs.columns == columns and {r["doc_id"]: r["text"] for r in docs.collect()} == rows
 
-    fps = {i: simhash.text_fingerprint(t.encode()) for i, t in rows.items()}
-    comp = {i: i for i in fps}
-    while True:
-        new = {i: min(comp[j] for j in fps if (fps[i] ^ fps[j]).bit_count() <= 2) for i in fps}
-        if new == comp:
-            break
-        comp = new
-    rows = {i: t for i, t in rows.items() if comp[i] == i}
+    heads = brute_heads(rows)
+    assert len(heads) < len(rows)
+    rows = {i: t for i, t in rows.items() if i in heads}
     docs = CP.materialize(stages["near-duplicates"](spark, docs, SF))
     assert docs.columns == columns and {r["doc_id"]: r["text"] for r in docs.collect()} == rows
 
@@ -84,33 +110,24 @@ def test_near_copies_keep_null_ids_and_merge_repeated_rows(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted({rows[k] for k in (0, 1, 2, 5, 6)}, key=str)
 
 
-def test_near_copies_of_similarity_0_8(spark, monkeypatch):
-    """Groups of five-word shingle sets of similarity 0.8 or more, against all pairs; with few and with many comparisons at once."""
+@pytest.mark.parametrize("pivots", [2, 0])
+def test_near_copies_of_similarity_0_8(spark, monkeypatch, pivots):
+    """Groups of five-word shingle sets of similarity 0.8 or more, against all pairs; with pivots and by tiles alone."""
+    monkeypatch.setattr(nearcopies, "PIVOTS", pivots)
+    monkeypatch.setattr(nearcopies, "TILE", 7)
     docs = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet").select("doc_id", "text")
-    grams = {}
-    for r in docs.collect():
-        w = (r["text"] or "").encode().lower().split()
-        grams[r["doc_id"]] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
-    comp = {i: i for i in grams}
-    ids = sorted(grams, key=lambda i: len(grams[i]))
-    links = []
-    for k, i in enumerate(ids):
-        for j in ids[k + 1 :]:
-            if len(grams[i]) < 0.8 * len(grams[j]):
-                break
-            common = len(grams[i] & grams[j])
-            if common >= 0.8 * (len(grams[i]) + len(grams[j]) - common):
-                links.append((i, j))
-    for _ in range(len(ids)):
-        before = dict(comp)
-        for i, j in links:
-            comp[i] = comp[j] = min(comp[i], comp[j])
-        if comp == before:
-            break
-    expected = {i for i in comp if comp[i] == i}
-    assert {r["doc_id"] for r in CP.near_copies(spark, docs, SF).collect()} == expected
-    monkeypatch.setattr(nearcopies, "FEW", 0)
-    assert {r["doc_id"] for r in CP.near_copies(spark, docs, SF).collect()} == expected
+    assert {r["doc_id"] for r in CP.near_copies(spark, docs, SF).collect()} == brute_heads({r["doc_id"]: r["text"] for r in docs.collect()})
+
+
+def test_tile_joins_are_complete():
+    rng = np.random.default_rng(5)
+    base = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (3, 40, 200, 900)]
+    sets = [np.unique(np.concatenate((x[rng.random(len(x)) > p], x[:1]))) for x in base for p in (0, 0.02, 0.1, 0.15, 0.3) for _ in range(4)]
+    fps = np.array([simhash.majority_fingerprint(x) for x in sets], np.uint64)
+    similar = {(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    for side in (np.zeros(len(sets), int), rng.integers(1, 3, len(sets))):
+        want = [(i, j) for i, j in similar if not side[i] or side[i] != side[j]]
+        assert groups_of(range(len(sets)), nearcopies.tile_joins(sets, fps, np.arange(len(sets)), side)) == groups_of(range(len(sets)), want)
 
 
 def test_quality_judges_texts_under_one_id_each(spark, tmp_path):
