@@ -84,6 +84,21 @@ def row_key(id_col: str, text_col: str):
     return F.unhex(F.md5(F.concat_ws("\n", ident, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("binary")))
 
 
+#: Keys that hold more than one in so many rows meet their partners by broadcast; there are at most so many of them.
+HOT_KEYS = 1000
+
+
+def hot_join(rows: DataFrame, partners: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows joined with partners, one for each key, whose column count says how many rows they have: no task gets all rows of a very frequent key.
+
+    Both sides are to be tables that are read from files, as each is read twice.
+    """
+    most = rows.count() // HOT_KEYS + 1
+    frequent = F.broadcast(partners.where(F.col(count) > most))  # HOT_KEYS rows at most
+    rest = rows.join(frequent.select(*keys), keys, "left_anti").join(partners.where(F.col(count) <= most), keys)
+    return rows.join(frequent, keys).unionByName(rest)
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 

@@ -9,6 +9,7 @@ from tessera.llm import licenses as LI
 from tessera.llm import mixing as X
 from tessera.llm import packing as PK
 from tessera.llm import quality as Q
+from tessera.llm import spelling as SP
 from tests.conftest import TESTDATA
 
 
@@ -66,33 +67,129 @@ def test_rare_and_top_words_agree(spark, monkeypatch):
     assert sorted(map(key, X.score_texts(docs).collect())) == whole
 
 
-def test_scores_use_every_exact_count(spark, monkeypatch):
-    """A word's count enters score whether it is broadcast or joined."""
-    docs = spark.read.parquet(f"{TESTDATA}/sf0.001/documents.parquet")
-    key = lambda r: (r["doc_id"], r["n_tokens"], round(r["score"], 6))
-    whole = sorted(map(key, X.score_texts(docs).collect()))
-    monkeypatch.setattr(X, "TOP_WORDS", 40)
-    assert sorted(map(key, X.score_texts(docs).collect())) == whole
-
-
 def test_word_probabilities_sum_to_one_at_most():
-    table = np.zeros((2, X.SLOTS), np.float32)
+    table = np.zeros((2, SP.SLOTS), np.float32)
     words = [b"ab", b"abc", b"b", b"ca", X.END]
-    X.count_bits(words, np.array([9, 2, 5, 1, 7]), table)
-    m = X.Mixer(table)
-    m.learn(words, np.array([9, 2, 5, 1, 7]), np.array([9.0, 2, 5, 1, 7]))
+    SP.count_bits(words, table)
+    m = SP.Mixer(table)
+    m.learn(words)
     m.freeze()
     some = [bytes([a]) for a in range(33, 127)] + [bytes([a, b]) for a in range(33, 127) for b in range(33, 127)] + [X.END]
     assert (10.0 ** m.log10(some)).sum() <= 1 + 1e-6
 
 
-def test_adaptation_is_a_probability():
-    p = {"a": 0.7, "b": 0.2, "c": 0.1}
-    total = 0.0
-    for doc in [(x, y, z) for x in p for y in p for z in p]:
-        c = collections.Counter(doc)
-        total += 10 ** X.adapted(np.log10([p[w] for w in c]), np.array(list(c.values())), np.array([len(c)]))[0]
-    assert total == pytest.approx(1.0)
+def test_class_bits_are_a_distribution():
+    """After any words, the probabilities of all classes of the next word sum to 1."""
+    texts = [b"a b c a b d", b"c c a b", b"d a b c"]
+    table = np.zeros((X.CLASS_SLOTS, 2), np.float32)
+    stream = X.Stream(texts)
+    X.count_classes(stream, np.arange(len(stream.hash)), table)
+    m = X.ClassMixer(table)
+    m.learn(stream, np.arange(len(stream.hash)))
+    m.freeze()
+    by_class = {}
+    for k in range(20000):
+        by_class.setdefault(int(X.hash_words([b"w%d" % k])[0] >> np.uint64(64 - X.CLASS_BITS)), b"w%d" % k)
+    assert len(by_class) == 1 << X.CLASS_BITS
+    for before in (b"", b"a", b"a b c a b"):
+        stream = X.Stream([before + b" " + w for w in by_class.values()])
+        logs, _ = m.log_bits(stream, np.arange(len(stream.hash)))
+        last = np.flatnonzero(stream.is_end) - 1
+        assert np.exp(logs[last]).sum() == pytest.approx(1.0, abs=1e-4)
+
+
+def brute_mixing(docs, classes, spelling):
+    """Natural logarithm of each text's probability, word by word and bit by bit, from the trained mixers."""
+    tokens = {i: (t or "").encode().lower().split() + [X.END] for i, t in docs}
+    count = collections.Counter(w for i, x in tokens.items() if not X.is_held_out(i) for w in x)
+    total, kinds = sum(count.values()), [int(h >> np.uint64(64 - X.CLASS_BITS)) for h in X.hash_words(list(count))]
+    sizes, rest = collections.Counter(), (sum(n == 1 for n in count.values()) + 0.5) / (total + 1)
+    for k, n in zip(kinds, count.values()):
+        sizes[k] += n
+    sig = lambda x: 1 / (1 + math.exp(-x))
+
+    def blocks(x):
+        cuts = [j for j in range(X.MATCH_WORDS - 1, len(x) - 1) if int(X.Stream([b" ".join(x[j - X.MATCH_WORDS + 1 : j + 1])]).grams()[X.MATCH_WORDS - 1]) % X.MATCH_STEP == 0]
+        return {j + 1: (tuple(x[j - X.MATCH_WORDS + 1 : j + 1]), tuple(x[j + 1 : (cuts[n + 1] + 1 if n + 1 < len(cuts) else len(x))])) for n, j in enumerate(cuts)}
+
+    places = {i: blocks(x) for i, x in tokens.items()}
+    out = {}
+    for i, x in tokens.items():
+        stream, log, place = X.Stream([(dict(docs)[i] or "").encode()]), 0.0, 0
+        others = [set(p.values()) for j, p in places.items() if j != i and not X.is_held_out(j)]
+        tries, hits, last = [0.0] * 3, [0.0] * 3, 0
+        coded, own, unknown, known = [], collections.Counter(), 0, 0
+        moved, slope = np.zeros(4), np.zeros(4)
+        while place < len(x):
+            if place in places[i]:
+                before, body = places[i][place]
+                after = sum(sum(b == before for b, _ in o) for o in others)
+                same = sum((before, body) in o for o in others)
+                if after:
+                    p = (hits[last] + 0.3) / (tries[last] + 0.8)
+                    tries[last] += 1
+                    log += math.log(p if same else 1 - p)
+                    if same:
+                        hits[last] += 1
+                        log += math.log(same / after)
+                        place, last = place + len(body), 1
+                        continue
+                    last = 2
+            w = x[place]
+            k = int(X.hash_words([w])[0] >> np.uint64(64 - X.CLASS_BITS))
+            if coded and len(coded) % X.CHUNK == 0:
+                moved, slope = moved + X.ONLINE_RATE * slope, np.zeros(4)
+            bits = 0.0
+            for j in range(X.CLASS_BITS):
+                bit, *slots = (int(v[0]) for v in X.class_slots(np.array([k]), stream.one[place : place + 1], stream.two[place : place + 1], j))
+                near = [c >> (X.CLASS_BITS - 1 - j) & 1 for c in coded if c >> (X.CLASS_BITS - j) == k >> (X.CLASS_BITS - j)]
+                st = np.array([*classes.inputs[slots], math.log((sum(near) + 0.3) / (len(near) - sum(near) + 0.3))])
+                gate = j * 64 + int(classes.confidence[slots[1]]) * 8 + min(7, int(math.log2(len(near) + 1)))
+                mixed = float(np.clip(st @ (classes.weights[gate] + moved), -15, 15))
+                slope += (bit - sig(mixed)) * st
+                p = 0.5 * sig(mixed) + 0.5 * classes.map[gate, int(np.clip(np.rint(mixed * 2) + 16, 0, 32))]
+                bits += math.log(p if bit else 1 - p)
+            if count[w]:
+                log += math.log((known + X.ESCAPE_STRENGTH * (1 - rest)) / (len(coded) + X.ESCAPE_STRENGTH)) + bits
+                log += math.log((own[w] + X.CLASS_STRENGTH * count[w] / sizes[k]) / (coded.count(k) + X.CLASS_STRENGTH))
+                known += 1
+            else:
+                log += math.log((unknown + X.ESCAPE_STRENGTH * rest) / (len(coded) + X.ESCAPE_STRENGTH))
+                log += math.log((own[w] + X.UNKNOWN_STRENGTH * 10 ** spelling.log10([w])[0]) / (unknown + X.UNKNOWN_STRENGTH))
+                unknown += 1
+            own[w] += 1
+            coded.append(k)
+            place += 1
+        out[i] = log
+    return out
+
+
+def test_scores_match_brute_force(spark, monkeypatch):
+    """score against a plain version: copies, near copies, unknown words that recur, a text of several chunks, a frequent and a rare word."""
+    rng = np.random.default_rng(4)
+    prose = lambda n: " ".join(f"w{int(x)}" for x in rng.zipf(1.4, n) % 300)
+    docs = [(k, prose(int(rng.integers(1, 120)))) for k in range(40)]
+    long = prose(400)
+    docs += [(40, docs[3][1]), (41, docs[3][1] + " more"), (42, long), (43, docs[7][1]), (44, long[:900]), (45, None), (46, "new! new! new! words?")]
+    held = next(k for k in range(100, 200) if X.is_held_out(k))
+    docs += [(held, long + " never seen words never seen " + prose(80))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    kept = {}
+    for name in ("train_classes", "train_spelling"):
+        monkeypatch.setattr(X, name, lambda *a, name=name, f=getattr(X, name): kept.setdefault(name, f(*a)))
+    got = {r["doc_id"]: r for r in X.score_texts(df).collect()}
+    want = brute_mixing(docs, kept["train_classes"], kept["train_spelling"])
+    for i, x in want.items():
+        assert got[i]["score"] == pytest.approx(x / math.log(10), rel=1e-4), i
+    assert got[44]["score"] > 0.2 * got[44]["base_score"]  # a copy of a part of another text
+    monkeypatch.setattr(X, "TOP_WORDS", 5)
+    few = {r["doc_id"]: r["score"] for r in X.score_texts(df).collect()}
+    assert all(few[i] == pytest.approx(r["score"], rel=1e-9) for i, r in got.items())
+
+
+def test_scores_beat_the_base_on_held_out_texts(spark):
+    rows = X.score_texts(spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet")).where("held_out").collect()
+    assert np.mean([r["score"] for r in rows]) > np.mean([r["base_score"] for r in rows])
 
 
 def test_mixing_odd(spark, odd_docs, no_docs):
