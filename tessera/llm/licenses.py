@@ -4,11 +4,12 @@ Paragraphs are lines; a line of more than SPAN words is read in overlapping span
 lines without a blank one between them, comment marks left out, so that notices wrapped over lines are
 found; what such spans find counts for the line they begin in. A span's word
 1- to 3-grams, lower-cased and hashed, feed a sparse multinomial logistic regression over licence
-families and one class for everything else. It is trained on the driver from varied copies of
-TEMPLATES and a bounded sample of corpus paragraphs that resemble none. A temperature fitted on
-held-out variants calibrates it; a family is predicted only at CONFIDENCE or more, otherwise the
-paragraph is "unknown" if it isn't plainly other text. A prediction is confirmed if the paragraph
-holds at least CONTAINMENT of the 2-grams of a template of that family.
+families, one class for licences of no family here, and one for everything else. It is trained on the
+driver from varied copies of TEMPLATES and OTHER_LICENCES and a bounded sample of corpus spans that
+resemble none. A temperature calibrates it, fitted on fresh variants and on corpus spans that the
+training didn't see; a family is predicted only at CONFIDENCE or more. If a paragraph isn't plainly
+other text and has no such family, it is "unknown". A prediction is confirmed if the paragraph holds
+at least CONTAINMENT of the 2-grams of a template of that family.
 
 Edge cases: null and empty texts have no paragraph; blank lines are none; repeated rows and ties
 (equal confidence: the family first in the alphabet) give equal results; an empty table gives an empty table;
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64, raw_texts, scan_words, slices
+from tessera.llm.common import hash_bound, mix64, raw_texts, scan_words, slices
 
 FEATURE_BITS = 16
 SPAN = 48
@@ -33,24 +34,41 @@ STEP = 24
 CONFIDENCE = 0.8
 CONTAINMENT = 0.6
 NEGATIVES = 4000
-OTHER = "other"
+OTHER, UNKNOWN = "other", "unknown"
+#: Longest corpus span, in characters, that serves as a counter-example.
+SPAN_CHARS = 4096
 #: Common public notices of each family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "agpl": ("Licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it under the terms of the GNU Affero General Public License as published by the Free Software Foundation."),
-    "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "This project is released under the Apache License 2.0."),
-    "bsd": ("Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "This work is licensed under the BSD 3-Clause License."),
+    "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "This project is released under the Apache License 2.0.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    "bsd": ("Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "This work is licensed under the BSD 3-Clause License.", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "cc0": ("Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0 Universal."),
-    "gpl": ("This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.", "Released under the GPL v3."),
+    "gpl": ("This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.", "Released under the GPL v3.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.", "You should have received a copy of the GNU General Public License along with this program."),
     "lgpl": ("Licensed under the GNU Lesser General Public License, version 3.", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License."),
-    "mit": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
+    "mit": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights", "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     "mpl": ("Licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     "proprietary": ("All rights reserved.", "No part of this publication may be reproduced without the prior written permission of the publisher.", "This document is confidential and proprietary."),
     "unlicense": ("This is free and unencumbered software released into the public domain.", "Released under the Unlicense."),
 }
-FAMILIES = (OTHER, *sorted(TEMPLATES))
+#: Common public notices of licences that have no family above; they teach the unknown class.
+OTHER_LICENCES: tuple[str, ...] = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions.",
+    "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "You may distribute this package under the terms of the Artistic License.",
+    "The contents of this file are subject to the terms of the Common Development and Distribution License. You may not use this file except in compliance with the License.",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "This program and the materials that accompany it are made available under the terms of the Common Public License, which is available at the following address.",
+    "The author disclaims all warranties with regard to this software. In no event shall the author be liable for any special, direct, indirect or consequential damages.",
+    "Use, copying, modification and distribution of this software and its documentation for any purpose are permitted without fee, provided that the above notice appears in all copies.",
+    "Released under the terms of the Open Software License. See the file LICENSE for details of the license.",
+)
+FAMILIES = (OTHER, UNKNOWN, *sorted(TEMPLATES))
 SCHEMA = "doc_id long, n_paragraphs long, n_licensed long, families string, n_unknown long, n_confirmed long, confidence double, first_paragraph long"
 
 
@@ -144,14 +162,14 @@ def _bigrams(hashes: np.ndarray) -> set[int]:
 
 def template_grams() -> list[tuple[int, frozenset[int]]]:
     """(family, 2-grams) of each template."""
-    return [(k, frozenset(_bigrams(scan_words([x.encode()], lower=True)[0]))) for k, f in enumerate(FAMILIES) if f != OTHER for x in TEMPLATES[f]]
+    return [(k, frozenset(_bigrams(scan_words([x.encode()], lower=True)[0]))) for k, f in enumerate(FAMILIES) for x in TEMPLATES.get(f, ())]
 
 
 def _variants(rng: np.random.Generator, noise: list[list[bytes]], copies: int) -> tuple[list[bytes], list[int]]:
     """Copies of the templates with words lost, exchanged or added around them."""
     texts, labels = [], []
     for k, family in enumerate(FAMILIES):
-        for template in TEMPLATES.get(family, ()):
+        for template in OTHER_LICENCES if family == UNKNOWN else TEMPLATES.get(family, ()):
             for c in range(copies):
                 words = template.encode().split()
                 if c and len(words) > 4:
@@ -160,21 +178,22 @@ def _variants(rng: np.random.Generator, noise: list[list[bytes]], copies: int) -
                     words = noise[rng.integers(len(noise))][: rng.integers(1, 12)] + words
                 if c % 4 == 2 and noise:
                     words = words + noise[rng.integers(len(noise))][: rng.integers(1, 12)]
-                texts.append(b" ".join(words[:SPAN]))
+                texts.append(b" ".join(words))
                 labels.append(k)
     return texts, labels
 
 
 def fit(negatives: list[bytes], seed: int = 3) -> LicenseModel:
-    """AdaGrad with an L1 shrink on varied templates and corpus paragraphs; the temperature on fresh variants."""
+    """AdaGrad with an L1 shrink on varied templates and corpus spans; the temperature on fresh variants and every fifth span, which training leaves out."""
     rng = np.random.default_rng(seed)
-    own = template_grams()
+    own = [*template_grams(), *((1, frozenset(_bigrams(scan_words([x.encode()], lower=True)[0]))) for x in OTHER_LICENCES)]
     plain = []
     for x in negatives:
         grams = _bigrams(scan_words([x], lower=True)[0])
         if grams and not any(len(grams & g) > 0.2 * len(g) for _, g in own):
             plain.append(x)
-    noise = [x.split() for x in plain[:500]]
+    unseen, plain = plain[::5], [x for k, x in enumerate(plain) if k % 5]
+    noise = [x.split() for x in plain]
     texts, labels = _variants(rng, noise, 24)
     texts, labels = texts + plain, np.array(labels + [0] * len(plain))
     hashes, doc, _, first, words = spans_of(texts)
@@ -200,9 +219,9 @@ def fit(negatives: list[bytes], seed: int = 3) -> LicenseModel:
             db = err.mean(axis=0)
             gb += db**2
             m.bias -= 0.1 * db / np.sqrt(gb)
-    fresh, truth = _variants(rng, noise[::-1], 6)
-    hashes, doc, _, first, words = spans_of(fresh + plain[: len(fresh)])
-    truth = np.array(truth + [0] * len(plain[: len(fresh)]))[doc]
+    fresh, truth = _variants(rng, [x.split() for x in unseen], 6)
+    hashes, doc, _, first, words = spans_of(fresh + unseen)
+    truth = np.array(truth + [0] * len(unseen))[doc]
     features, sizes = gram_features(hashes, first, words)
 
     def loss(t: float) -> float:
@@ -214,11 +233,17 @@ def fit(negatives: list[bytes], seed: int = 3) -> LicenseModel:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LicenseModel:
-    """Fit with at most NEGATIVES lines of the corpus, one from each of the first documents by hash of the id."""
-    lines = F.filter(F.split(text_col, "\n"), lambda x: F.trim(x) != "")
-    line = F.element_at(lines, (F.pmod(F.xxhash64(id_col), F.size(lines)) + 1).cast("int"))
-    some = docs.where(F.size(lines) > 0).select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i"), F.substring(line, 1, 600).alias("line")).orderBy("h", "i", "line").limit(NEGATIVES)
-    return fit([r["line"].encode() for r in some.collect()])
+    """Fit with at most NEGATIVES spans of the corpus: one of one line of each of the first documents by a hash, both chosen by it."""
+    total = docs.count()
+    # the hash bound comes first, so that only the documents it lets through are split
+    keyed = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    some = keyed.where(hash_bound("key", total, NEGATIVES)).select("key", lines.alias("lines")).where(F.size("lines") > 0)
+    words = F.filter(F.split(F.get("lines", F.pmod("key", F.greatest(F.lit(1), F.size("lines"))).cast("int")), r"[ \t\x0B\f\r]+"), lambda w: w != "")
+    picked = some.select("key", words.alias("words")).where(F.size("words") > 0)
+    span = F.slice("words", (F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.ceil(F.size("words") / STEP))) * STEP + 1).cast("int"), SPAN)
+    spans = picked.select("key", F.array_join(span, " ").alias("span")).where(F.length("span") <= SPAN_CHARS)
+    return fit([r["span"].encode() for r in spans.orderBy("key", "span").limit(NEGATIVES).collect()])  # NEGATIVES rows of SPAN_CHARS at most
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,7 +265,7 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None, id_col: st
                 likely = np.flatnonzero(p[:, 0] < 0.5)
                 for s in likely.tolist():
                     family = int(p[s, 1:].argmax()) + 1
-                    sure, unknown = float(p[s, family]), p[s, family] < CONFIDENCE
+                    sure, unknown = float(p[s, family]), family == 1 or p[s, family] < CONFIDENCE
                     grams = _bigrams(hashes[first[s] : first[s] + words[s]])
                     confirmed = not unknown and any(k == family and len(grams & g) >= CONTAINMENT * len(g) for k, g in templates)
                     of = found.setdefault(int(doc[s]), {})

@@ -8,8 +8,9 @@ plus a fixed cost, over the piece plus what smaller unplaced pieces can still ad
 bin is downsized to the smallest permitted length that holds its contents. A document longer than
 the largest length is cut into pieces of that length and one rest.
 
-Edge cases: null and empty texts hold no tokens but their end token; repeated rows are packed each
-for itself; ties go by (doc_id, piece); an empty table gives no bins; other columns are not read.
+Edge cases: null and empty texts hold no tokens but their end token; repeated rows (and rows without
+an id) are packed each for itself, and dealt to shards like any others by their number; ties go by
+(doc_id, piece, number); an empty table gives no bins; other columns are not read.
 """
 
 from __future__ import annotations
@@ -84,14 +85,16 @@ def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, bin_cost: int =
 def pack_documents(counts: DataFrame, lengths: tuple[int, ...] = LENGTHS, bin_cost: int = BIN_COST) -> DataFrame:
     """Bins for (doc_id, n_tokens): one row for each piece of each document."""
     most = max(lengths)
-    counts = materialize(counts)
-    pieces = counts.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n_tokens") - 1) / most)).cast("int"))).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", (F.col("piece").cast("long") * most).alias("piece_start"), F.least(F.lit(most), F.col("n_tokens") - F.col("piece").cast("long") * most).cast("int").alias("piece_tokens"))
-    shards = max(1, -(-(counts.agg(F.sum(F.floor((F.col("n_tokens") - 1) / most) + 1)).first()[0] or 0) // SHARD_PIECES)) * 4
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    # rows that repeat are numbered, so that a very frequent one is spread over the shards
+    repeated = materialize(counts.groupBy("doc_id", "n_tokens").agg(F.count("*").alias("rows")))
+    counts = repeated.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("number"))
+    pieces = counts.select("doc_id", "n_tokens", "number", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n_tokens") - 1) / most)).cast("int"))).alias("piece"))
+    pieces = pieces.select("doc_id", "number", "piece", (F.col("piece").cast("long") * most).alias("piece_start"), F.least(F.lit(most), F.col("n_tokens") - F.col("piece").cast("long") * most).cast("int").alias("piece_tokens"), "n_tokens")
+    shards = max(1, -(-(repeated.agg(F.sum(F.col("rows") * (F.floor((F.col("n_tokens") - 1) / most) + 1))).first()[0] or 0) // SHARD_PIECES)) * 4
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens", "number"), F.lit(shards)))
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by([("piece_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        t = t.sort_by([("piece_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("number", "ascending")])
         home, offset, final, used = pack(t["piece_tokens"].to_numpy().astype(np.int64), lengths, bin_cost)
         shard = key[0].as_py()
         return pa.table(
@@ -102,4 +105,4 @@ def pack_documents(counts: DataFrame, lengths: tuple[int, ...] = LENGTHS, bin_co
             }
         )
 
-    return pieces.groupBy("shard").applyInArrow(run, SCHEMA)
+    return pieces.drop("n_tokens").groupBy("shard").applyInArrow(run, SCHEMA)

@@ -3,7 +3,7 @@
 score = sigmoid(w0 + sum_i w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2]), so pairwise
 interactions of all features cost time linear in their number. It is fitted on the driver with
 AdaGrad on a sample of at most SAMPLE_PER_CLASS labelled rows of each class, the first by a hash of
-doc_id; rows whose crc32(doc_id) mod 4 is 2 are held out. Examples are weighted back to the classes'
+doc_id, one text (the least) under each doc_id; rows whose crc32(doc_id) mod 4 is 2 are held out. Examples are weighted back to the classes'
 shares among all labelled training rows. Labels, lang, source and doc_id are never inputs.
 
 Edge cases: null and empty texts have zero word features and get the score of their statistics;
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import raw_texts, row_key, scan_words, slices
+from tessera.llm.common import first_by_hash, raw_texts, row_key, scan_words, slices
 
 WORD_BITS = 15
 FACTORS = 8
@@ -145,9 +145,10 @@ def train(docs: DataFrame, labels: DataFrame) -> FactorisationMachine | None:
     shares = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(shares) < 2:
         return None
-    first = lambda q: known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS)
+    first = lambda q: first_by_hash(known.where(F.col("quality") == q), "doc_id", shares[q], SAMPLE_PER_CLASS)
     # at most 2 * SAMPLE_PER_CLASS rows of two integers: a proven bound
-    sample = _texts(docs).join(F.broadcast(first(0).unionByName(first(1))), "doc_id").select("quality", "text", "n_chars", "doc_id")
+    found = _texts(docs).join(F.broadcast(first(0).unionByName(first(1))), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("text", "n_chars")).alias("least"))
+    sample = found.select("quality", "least.text", "least.n_chars", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 4 << 20):
@@ -170,7 +171,11 @@ def train(docs: DataFrame, labels: DataFrame) -> FactorisationMachine | None:
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted, row) for every whole text; row is row_key()."""
-    model = train(docs, labels)
+    return score_with(train(docs, labels), docs, threshold)
+
+
+def score_with(model: FactorisationMachine | None, docs: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """As score_quality(), with a model of train()."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: 2^WORD_BITS * (FACTORS + 1) numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

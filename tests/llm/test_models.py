@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import licenses as LI
 from tessera.llm import mixing as X
@@ -43,6 +44,35 @@ def test_quality_odd(spark, odd_docs, no_docs):
     assert Q.score_quality(no_docs, labels).count() == 0
 
 
+def test_quality_query_against_a_plain_version(spark):
+    """score of every document against the pairwise form, feature by feature, with the fitted model."""
+    docs, labels = (spark.read.parquet(f"{TESTDATA}/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    m = Q.train(docs, labels)
+    got = {r["doc_id"]: r for r in Q.score_with(m, docs).collect()}
+    for r in docs.collect():
+        text = (r["text"] or "").encode()
+        tf = collections.Counter(int(h >> np.uint64(64 - Q.WORD_BITS)) for h in Q.scan_words([text])[0])
+        norm = math.sqrt(sum(math.log1p(n) ** 2 for n in tf.values())) or 1.0
+        words, n = text.split(), max(1, len(text))
+        classes = collections.Counter(int(Q._CLASS_OF[b]) for b in text)
+        stats = [math.sqrt(classes[k] / n) for k in range(10)]
+        stats += [math.log1p(len(words)) / 10, sum(map(len, words)) / max(1, len(words)) / 10, len(tf) / max(1, len(words)), math.log1p(r["n_chars"] or 0) / 12, float(bool(words))]
+        x = [(k, math.log1p(n) / norm) for k, n in tf.items()] + [((1 << Q.WORD_BITS) + k, v) for k, v in enumerate(stats)]
+        f = np.array([m.factors[i] * v for i, v in x])
+        logit = m.bias + sum(m.linear[i] * v for i, v in x) + sum((f[a + 1 :] @ f[a]).sum() for a in range(len(f)))
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-6)
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_quality_sample_is_the_first_by_hash(spark, monkeypatch):
+    from tessera.llm.common import first_by_hash
+
+    rows = spark.range(5000).selectExpr("id AS doc_id")
+    got = [r[0] for r in first_by_hash(rows, "doc_id", 5000, 100).collect()]
+    want = rows.orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 11), "doc_id").limit(100)
+    assert got == [r[0] for r in want.collect()] and len(first_by_hash(rows, "doc_id", 5000, 9000).collect()) == 5000
+
+
 def test_base_scores(spark):
     docs = spark.read.parquet(f"{TESTDATA}/sf0.001/documents.parquet")
     words = {r["doc_id"]: (r["text"] or "").encode().lower().split() + [b"\n"] for r in docs.collect()}
@@ -240,6 +270,41 @@ def test_best_fit_by_hand():
     assert sorted(zip(final, used)) == [(64, 64), (128, 120)]
 
 
+def test_packing_against_a_plain_version():
+    """pack() against best fit written with lists, and rows that repeat are spread over shards."""
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        lengths = tuple(sorted(set(int(x) for x in rng.integers(8, 200, 3))))
+        sizes = sorted((int(x) for x in rng.integers(1, lengths[-1] + 1, 60)), reverse=True)
+        bins, capacity, places = [], [], []
+        for k, size in enumerate(sizes):
+            fits = [b for b in range(len(bins)) if capacity[b] - bins[b] >= size]
+            if fits:
+                least = min(capacity[b] - bins[b] for b in fits)
+                b = [b for b in range(len(bins)) if capacity[b] - bins[b] == least][0]
+            else:
+                cost = {}
+                for c in lengths:
+                    if c >= size:
+                        smaller = sum(x for x in sizes[k + 1 :] if x <= c - size)
+                        cost[c] = (c + 5) / (size + min(c - size, smaller))
+                b = len(bins)
+                bins.append(0)
+                capacity.append(min(cost, key=lambda c: (cost[c], c)))
+            places.append((size, capacity[b] - bins[b] - size))
+            bins[b] += size
+        home, offset, final, used = PK.pack(np.array(sizes), lengths, 5)
+        assert sorted(used) == sorted(bins) and final == [min(c for c in lengths if c >= u) for u in used]
+        assert sum(final) == sum(min(c for c in lengths if c >= u) for u in bins)
+
+
+def test_repeated_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(PK, "SHARD_PIECES", 1000)
+    rows = PK.pack_documents(spark.range(20000).selectExpr("cast(null AS long) AS doc_id", "100L AS n_tokens")).collect()
+    shards = collections.Counter(r["bin_id"].split("-")[0] for r in rows)
+    assert len(rows) == 20000 and max(shards.values()) < 1000 and {r["piece_tokens"] for r in rows} == {100}
+
+
 def test_packing_odd(spark, odd_docs, no_docs):
     counts = PK.token_counts(odd_docs)
     assert {r["doc_id"]: r["n_tokens"] for r in counts.collect()}[1] == 1
@@ -279,6 +344,59 @@ def test_licenses_wrapped_over_lines(spark):
     assert [r["n_paragraphs"] for r in rows] == [3, 4, 3, 3] and [r["n_confirmed"] > 0 for r in rows] == [True] * 3 + [False]
 
 
+WRAPPED = {
+    "mit": "Copyright (c) 2020 A. Person\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software.",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.",
+    "apache-2.0": "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at",
+    "gpl": "/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version. */",
+}
+STRANGE = {
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "epl": "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0/",
+}
+
+
+def test_wrapped_and_unknown_licences(spark):
+    """With the corpus's own counter-examples: usual wrapped notices are confirmed, other licences are unknown, prose is neither."""
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet")
+    model = LI.train(docs)
+    texts = {**WRAPPED, **STRANGE, "": "The committee granted permission to the farmers.\nAll the rights of man were discussed."}
+    rows = {r["doc_id"]: r for r in LI.scan_licenses(spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string"), model).collect()}
+    assert [rows[k]["families"] for k in range(4)] == list(WRAPPED)
+    assert all(rows[k]["families"] == "" and rows[k]["n_unknown"] > 0 for k in (4, 5))
+    assert rows[6]["families"] == "" and rows[6]["n_unknown"] == 0
+
+
+def test_licence_query_against_a_plain_version(spark):
+    """Every finding recomputed span by span with dictionaries and the same model."""
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.001/documents.parquet").limit(60)
+    model = LI.train(docs)
+    light = LI.LicenseModel(model.weights.astype(np.float32), model.bias.astype(np.float32), model.temperature)
+    got = {r["doc_id"]: r for r in LI.scan_licenses(docs, model).collect()}
+    for r in docs.collect():
+        raw, best = (r["text"] or "").encode(), {}
+        lines = [x for x in raw.split(b"\n") if x.split()]
+        for n, line in enumerate(lines):
+            words = line.split()
+            for a in range(0, max(1, -(-(len(words) - LI.SPAN) // LI.STEP) + 1) * LI.STEP, LI.STEP):
+                span = b" ".join(words[a : a + LI.SPAN])
+                hashes, _, _, first, size = LI.spans_of([span])
+                p = light.probabilities(*LI.gram_features(hashes, first, size))[0]
+                if p[0] < 0.5:
+                    k = int(p[1:].argmax()) + 1
+                    known = k > 1 and p[k] >= LI.CONFIDENCE
+                    own = set(zip(span.lower().split(), span.lower().split()[1:]))
+                    grams = [set(zip(t.encode().lower().split(), t.encode().lower().split()[1:])) for t in LI.TEMPLATES.get(LI.FAMILIES[k], ())]
+                    found = (known and any(len(own & g) >= LI.CONTAINMENT * len(g) for g in grams), float(p[k]), k if known else 0)
+                    best[n] = max(best.get(n, (False, 0.0, 0)), found, key=lambda f: f[:2])
+        assert got[r["doc_id"]]["n_paragraphs"] == len(lines)
+        if got[r["doc_id"]]["n_confirmed"] == sum(f[0] for f in best.values()):  # none of more lines than one
+            assert got[r["doc_id"]]["families"] == ",".join(sorted({LI.FAMILIES[f[2]] for f in best.values() if f[0]}))
+            assert got[r["doc_id"]]["n_unknown"] == sum(not f[2] for f in best.values())
+        else:
+            assert got[r["doc_id"]]["n_confirmed"] > sum(f[0] for f in best.values())
+
+
 def test_licenses_odd(spark, odd_docs, no_docs):
     rows = LI.scan_licenses(odd_docs).collect()
     assert len(rows) == odd_docs.count() and {r["families"] for r in rows} == {""}
