@@ -1,6 +1,6 @@
 """Embedding near-duplicates: exact threshold pairs by dual traversal of cover trees.
 
-Equal vectors of a label are merged first and carry their number. Each label's vectors are dealt to
+Equal vectors of a label are merged first, numbered, and carry how many they are. Each label's vectors are dealt to
 the nearest of at most PIVOTS vectors (the first by hash) and large cells are cut by hash into tiles
 of about TILE vectors. Cell pairs whose centres lie further apart than their covering radii and the
 threshold distance are dropped; every other tile pair is one task's work: it builds a cover tree for
@@ -9,7 +9,13 @@ same bound with the nodes' true covering radii. What is left is checked by its c
 
 Edge cases: vectors that are null, zero, or hold nulls, NaN or infinities, and rows with a null label
 or vec_id, link with nothing and are kept; vectors of different length aren't compared; repeated rows
-are vectors of their own and link; an empty table gives an empty table; other columns are not read.
+are vectors of their own and link; rows that repeat a vec_id with another vector or label are vectors
+of their own, too; components of any size count, as each vector is divided by its largest one first;
+an empty table gives an empty table; other columns are not read.
+
+Pruning is exact, so its gain depends on the data: groups of copies are skipped at their centres, but
+single vectors in many dimensions are all about as far from each other as from every pivot, and then each
+tile meets each other tile of its label: N / TILE copies of a vector.
 """
 
 from __future__ import annotations
@@ -64,6 +70,12 @@ def build(points: np.ndarray, members: np.ndarray, centre: int, scale: float) ->
     return Node(np.array(centres), np.array(radii), below)
 
 
+def unit(m: np.ndarray) -> np.ndarray:
+    """Rows of length 1; each is divided by its largest component first, so that no square overflows or vanishes."""
+    m = m / np.abs(m).max(axis=1, initial=0)[:, None]
+    return m / np.sqrt((m * m).sum(axis=1))[:, None]
+
+
 def dual_traversal(x: np.ndarray, a: Node, y: np.ndarray, b: Node, reach: float, same: bool) -> list[tuple[np.ndarray, np.ndarray]]:
     """Index pairs whose points may lie within reach: node pairs too far apart are never opened."""
     out, stack = [], [(a, b, same)]
@@ -88,11 +100,10 @@ def dual_traversal(x: np.ndarray, a: Node, y: np.ndarray, b: Node, reach: float,
 def threshold_pairs(x: np.ndarray, y: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """All index pairs of rows with at least that cosine: within x (i < j), or between x and y."""
     same = y is None
-    unit = lambda m: m / np.sqrt((m * m).sum(axis=1))[:, None]
+    if not len(x) or not (same or len(y)):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     ux = unit(x)
     uy = ux if same else unit(y)
-    if not len(ux) or not len(uy):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a = build(ux, np.arange(len(ux)), 0, 2.0)
     b = a if same else build(uy, np.arange(len(uy)), 0, 2.0)
     found = dual_traversal(ux, a, uy, b, math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6, same)
@@ -100,7 +111,9 @@ def threshold_pairs(x: np.ndarray, y: np.ndarray | None, cosine: float) -> tuple
     if same:
         i, j = np.minimum(i, j), np.maximum(i, j)
         i, j = i[i != j], j[i != j]
-    other = x if same else y
+    scaled = lambda m: m / np.abs(m).max(axis=1)[:, None]
+    other = scaled(x if same else y)
+    x = scaled(x)
     keep = []
     for k in range(0, len(i), 1 << 18):
         p, q = x[i[k : k + (1 << 18)]], other[j[k : k + (1 << 18)]]
@@ -118,9 +131,7 @@ def _deal(points: pa.Table, pivots: pa.Table) -> pa.Table:
     """Nearest pivot and distance of each vector of one chunk of a label."""
     if not points.num_rows or not pivots.num_rows:
         return pa.table({"rep": pa.array([], pa.int64()), "cell": pa.array([], pa.int32()), "far": pa.array([], pa.float64())})
-    x, c = _matrix(points["vector"]), _matrix(pivots["vector"])
-    x /= np.sqrt((x * x).sum(axis=1))[:, None]
-    c /= np.sqrt((c * c).sum(axis=1))[:, None]
+    x, c = unit(_matrix(points["vector"])), unit(_matrix(pivots["vector"]))
     d = np.sqrt(np.maximum(0, 2 - 2 * (x @ c.T)))
     cell = d.argmin(axis=1)
     return pa.table({"rep": points["rep"], "cell": pa.array(pivots["cell"].to_numpy()[cell].astype(np.int32)), "far": pa.array(d.min(axis=1))})
@@ -129,8 +140,7 @@ def _deal(points: pa.Table, pivots: pa.Table) -> pa.Table:
 def _near_cells(cells: pa.Table, reach: float) -> pa.Table:
     """Cell pairs of one label that can hold links, by their covering radii."""
     cells = cells.sort_by("cell")
-    c, far = _matrix(cells["vector"]), cells["far"].to_numpy()
-    c /= np.sqrt((c * c).sum(axis=1))[:, None]
+    c, far = unit(_matrix(cells["vector"])), cells["far"].to_numpy()
     i, j = np.nonzero(np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T))) <= far[:, None] + far[None, :] + reach + 1e-6)
     cell = cells["cell"].to_numpy()
     return pa.table({"label": cells["label"].take(pa.array(i)), "width": cells["width"].take(pa.array(i)), "cell": cell[i], "other": cell[j], "other_cuts": cells["cuts"].take(pa.array(j))})
@@ -167,10 +177,12 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vec_id, embedding, label."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), "label")
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    squares = F.aggregate("vector", F.lit(0.0), lambda s, v: s + v * v)
-    sound = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & (squares > 0), F.lit(False))
+    some = F.exists("vector", lambda v: v != 0.0)
+    sound = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & some, F.lit(False))
     marked = materialize(rows.select("vec_id", "label", "vector", sound.alias("sound")))
-    unique = materialize(marked.where("sound").groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")).withColumn("width", F.size("vector")))
+    # each distinct vector has a number of its own, written with it: a vec_id may occur with several
+    unique = marked.where("sound").groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("times"))
+    unique = materialize(unique.withColumn("width", F.size("vector")).withColumn("rep", F.monotonically_increasing_id()))
     group = ["label", "width"]
     sizes = unique.groupBy(group).agg(F.count("*").alias("n"))
     # pivots: one in TILE / 2 vectors of a label, at most PIVOTS, the first by hash
@@ -195,8 +207,9 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     found = materialize(work.groupBy(*group, "low", "high").applyInArrow(lambda t: _links(t.select(["side", "rep", "times", "vector"]), cosine), "a long, b long, links long"))
     counted = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     groups = connected_components(found.where("b is not null").select("a", "b"))
-    heads = unique.select("label", "vector", "rep", "times").join(counted, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    heads = heads.select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    grouped = materialize(unique.select("label", "vector", "rep", "times", "least").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    firsts = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    heads = grouped.join(counted, "rep", "left").join(firsts, "component").select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id")
     linked = marked.where("sound").join(heads, ["label", "vector"]).select("vec_id", "n_links", "component_id")
     alone = marked.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

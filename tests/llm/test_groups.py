@@ -145,3 +145,11 @@ def test_embeddings_empty_and_repeated(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (None, [1.0, 0.0], 1)]
     got = sorted([tuple(r) for r in C.embedding_groups(spark.createDataFrame(rows, schema)).collect()], key=str)
     assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 0, None, True)], key=str)
+
+
+def test_repeated_ids_and_extreme_components(spark):
+    schema = "vec_id long, embedding array<double>, label int"
+    near = [0.999, 0.04]
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 1), (2, near, 0), (3, [1e-200, 0.0], 2), (4, [2e-200, 1e-202], 2), (5, [1e300, 0.0], 3), (6, [1.5e300, 1e299], 3), (7, [5e-324, 0.0], 3), (8, [0.0, 1e-310], 3)]
+    got = sorted([tuple(r) for r in C.embedding_groups(spark.createDataFrame(rows, schema)).collect()])
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 2, 5, True), (6, 2, 5, False), (7, 2, 5, False), (8, 0, 8, True)]
