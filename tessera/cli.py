@@ -8,24 +8,33 @@ import logging
 import os
 import sys
 
-TEMPLATE = """project:
-  user_agent: "${TESSERA_USER_AGENT}"
-  request_delay_seconds: 1.0
-  allow_robots_unavailable: false
-  database_path: "data/state"
-  output_dir: "data/output"
-llm:
-  provider: "dev"
-resolver:
-  similarity_threshold: 0.92
-scoring:
-  null_model_samples: 100
-signals:
-  enabled: true
-known_entities: []
-sources: []
+HEAD = """# Settings with their defaults. ${NAME:-default} takes a variable of the environment.
+# Sources are read only once they are enabled; user_agent has to name a contact address then.
 """
 
+EXAMPLES = """
+# known_entities:
+#   - {name: "An Organisation", entity_type: organization, aliases: ["AO"]}
+# sources:
+#   - {name: feed, kind: rss_feed, enabled: false, side: press, feed_url: "https://...", limit: 3, attention_weight: 0.7}
+#   - {name: column, kind: sitemap_column, enabled: false, side: press, sitemap_url: "https://...", url_include: "/opinion/"}
+#   - {name: list, kind: listing_column, enabled: false, side: press, listing_url: "https://..."}
+#   - {name: archive, kind: gob_presidency, enabled: false, side: official_government, archive_url: "https://...?page={page}", max_pages: 1}
+"""
+
+
+def template() -> str:
+    """A whole configuration: every setting with its default, no source enabled."""
+    from dataclasses import asdict
+
+    import yaml
+
+    from tessera.plans.config import AppConfig
+
+    body = asdict(AppConfig())
+    body["project"]["user_agent"] = "${TESSERA_USER_AGENT}"
+    return HEAD + yaml.safe_dump(body, sort_keys=False, allow_unicode=True) + EXAMPLES
+
 
 def _engine(path: str):
     from pyspark.sql import SparkSession
@@ -65,8 +74,9 @@ def main(argv: list[str] | None = None) -> int:
         if os.path.exists(args.to) and not args.overwrite:
             print(f"{args.to} exists", file=sys.stderr)
             return 1
+        os.makedirs(os.path.dirname(os.path.abspath(args.to)), exist_ok=True)
         with open(args.to, "w", encoding="utf-8") as f:
-            f.write(TEMPLATE)
+            f.write(template())
         return 0
     logging.basicConfig(level=logging.DEBUG if args.verbose else logging.INFO)
     engine = _engine(args.config)
@@ -75,7 +85,8 @@ def main(argv: list[str] | None = None) -> int:
 
         start(engine, args.landed, f"{engine.config.project.database_path}/_stream").awaitTermination()
     if args.command == "ingest":
-        print(f"documents_collected={engine.documents().count()}")
+        landed = engine.documents().count() if args.landed else 0
+        print(f"documents_collected={landed + engine.collect()}")
     elif args.command == "extract":
         print(f"documents_extracted={engine.extract()}")
     elif args.command == "graph":
@@ -90,7 +101,7 @@ def main(argv: list[str] | None = None) -> int:
         for rows in engine.signals():
             _show(rows) if args.json else rows.show(20, False)
     else:
-        print(json.dumps(engine.run(), ensure_ascii=False))
+        print(json.dumps(engine.run(collect=True), ensure_ascii=False))
     return 0
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from tessera.functions.text import citation_text, contains_words, find_quote_win
 from tessera.plans.config import AppConfig
 
 PROVIDER, MODEL = "dev", "heuristic-known-entities-v1"
+HOSTED, HOSTED_KEY = "deepseek", "DEEPSEEK_API_KEY"
 #: Bounds of co-mention extraction.
 SCANNED_CHARS, ENTITIES_PER_SENTENCE, RELATIONS_PER_DOCUMENT, CO_MENTION_CONFIDENCE = 15000, 8, 80, 0.55
 PAYLOAD_SCHEMA = (
@@ -157,18 +159,21 @@ def ground(extractions: DataFrame, docs: DataFrame, config: AppConfig, provider:
 
 
 def policy_fingerprint(config: AppConfig, provider: str) -> str:
-    """Version and hash of all settings that extraction depends on."""
-    body = {"provider": provider, "known_entities": sorted((asdict(e) for e in config.known_entities), key=lambda e: e["name"]), "resolver": asdict(config.resolver)}
+    """Version and hash of all settings that extraction depends on: names and aliases in any order, and the hosted request."""
+    known = sorted((e.name, e.entity_type, sorted(set(e.aliases))) for e in config.known_entities)
+    body = {"known_entities": known, "aliases": sorted((n, sorted(set(a))) for n, a in config.resolver.aliases.items())}
     if provider != PROVIDER:
-        body["request"] = {k: v for k, v in asdict(config.llm).items() if k != "cache_extractions"}
+        body["request"] = {k: v for k, v in asdict(config.llm).items() if k not in ("cache_extractions", "provider", "model")}
     return "v1:" + hashlib.sha256(json.dumps(body, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:24]
 
 
 def cache_identity(config: AppConfig, environ: dict[str, str] | None = None) -> tuple[str, str, str]:
-    """(provider, model, fingerprint) in force; provider auto becomes external only with a key in the environment."""
+    """(provider, model, fingerprint) in force; provider auto is the hosted one only with its key in the environment."""
     provider = config.llm.provider
     if provider == "auto":
-        provider = "external" if (environ or {}).get("EXTRACTION_API_KEY") else PROVIDER
+        provider = HOSTED if (os.environ if environ is None else environ).get(HOSTED_KEY) else PROVIDER
+    if provider not in (PROVIDER, HOSTED):
+        raise ValueError(f"{provider} is no extraction provider")
     return provider, MODEL if provider == PROVIDER else config.llm.model, policy_fingerprint(config, provider)
 
 

@@ -14,14 +14,14 @@ class Source:
 
     name: str
     kind: str
+    enabled: bool = False
     side: str = "unknown"
-    enabled: bool = True
     archive_url: str | None = None
     feed_url: str | None = None
     sitemap_url: str | None = None
     listing_url: str | None = None
     title_include: str | None = None
-    url_include: list[str] | None = None
+    url_include: str | list[str] | None = None
     max_pages: int = 1
     limit: int = 3
     fetch_article: bool = True
@@ -35,6 +35,12 @@ class Source:
             raise ValueError("attention_weight must lie in [0, 1]")
 
 
+#: Types of entities, extraction providers and graph backends.
+ENTITY_TYPES = ("person", "organization", "company", "place", "event", "other")
+PROVIDERS = ("auto", "deepseek", "dev")
+BACKENDS = ("sqlite", "neo4j")
+
+
 @dataclass
 class KnownEntity:
     """A catalogue entity with its aliases."""
@@ -43,6 +49,10 @@ class KnownEntity:
     entity_type: str = "other"
     aliases: list[str] = field(default_factory=list)
 
+    def __post_init__(self):
+        if self.entity_type not in ENTITY_TYPES:
+            raise ValueError(f"{self.entity_type} is no entity type")
+
 
 @dataclass
 class Resolver:
@@ -54,7 +64,7 @@ class Resolver:
 
 @dataclass
 class Scoring:
-    """Parameters of the sceptical controls."""
+    """Parameters of the sceptical controls. The defaults."""
 
     enabled: bool = True
     null_model_samples: int = 100
@@ -77,7 +87,7 @@ DENIAL_KEYWORDS = (
 
 @dataclass
 class Signals:
-    """Parameters of the reading signals."""
+    """Parameters of the reading signals. The defaults."""
 
     enabled: bool = True
     small_note_top_n: int = 10
@@ -109,7 +119,7 @@ class Project:
 
 @dataclass
 class Extraction:
-    """The extraction provider and what identifies its policy."""
+    """The extraction provider and what identifies its policy. auto is the hosted one where its key is in the environment."""
 
     provider: str = "dev"
     base_url: str = ""
@@ -121,6 +131,10 @@ class Extraction:
     user_id: str = ""
     cache_extractions: bool = True
 
+    def __post_init__(self):
+        if self.provider not in PROVIDERS:
+            raise ValueError(f"{self.provider} is no extraction provider")
+
 
 @dataclass
 class Graph:
@@ -130,6 +144,8 @@ class Graph:
     neo4j: dict[str, Any] = field(default_factory=dict)
 
     def __post_init__(self):
+        if self.backend not in BACKENDS:
+            raise ValueError(f"{self.backend} is no graph backend")
         if self.backend == "neo4j" and not self.neo4j.get("password"):
             raise ValueError("the property-graph backend needs a password")
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import centrality, export, extraction, graph_store, resolution, scoring, signals
 from tessera.plans.config import AppConfig
+from tessera.sources import collect
+from tessera.sources.web import Fetcher
 
 DOCUMENT = (
     "id STRING, source_name STRING, source_kind STRING, source_side STRING, url STRING, title STRING, text STRING, author STRING, published_at TIMESTAMP, fetched_at TIMESTAMP, "
@@ -35,6 +37,15 @@ class Engine:
         """All stored documents, newest first."""
         return self.store.read("documents", DOCUMENT).orderBy(F.desc("published_at"), "id")
 
+    def get_document(self, ident: str) -> DataFrame:
+        """The document of that id: one row or none."""
+        return self.store.read("documents", DOCUMENT).where(F.col("id") == ident)
+
+    def collect(self, fetcher: Fetcher | None = None) -> int:
+        """Collect and ingest what the enabled sources hold; no request is made without any."""
+        found = collect.collect(self.spark, self.config, fetcher)
+        return self.ingest(found) if found is not None else 0
+
     def ingest(self, collected: DataFrame) -> int:
         """Insert or replace documents by id; the same address under another id is refused."""
         old = self.store.read("documents", DOCUMENT)
@@ -143,9 +154,10 @@ class Engine:
         export.write_json(both, f"{out}/signals.json")
         return notes, readings
 
-    def run(self, collected: DataFrame | None = None, provider: Callable[[DataFrame], DataFrame] | None = None) -> dict:
-        """Collect, extract, map, discover, signal."""
-        stats = {"documents_collected": self.ingest(collected) if collected is not None else 0, "documents_extracted": self.extract(provider)}
+    def run(self, collected: DataFrame | None = None, provider: Callable[[DataFrame], DataFrame] | None = None, collect: bool = False, fetcher: Fetcher | None = None) -> dict:
+        """Collect (the given documents, and with collect what the sources hold), extract, map, discover, signal."""
+        written = (self.ingest(collected) if collected is not None else 0) + (self.collect(fetcher) if collect else 0)
+        stats = {"documents_collected": written, "documents_extracted": self.extract(provider)}
         stats |= self.map_graph()
         bridges = self.discover()
         notes, readings = self.signals()

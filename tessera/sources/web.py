@@ -8,14 +8,19 @@ the operator's settings.
 
 from __future__ import annotations
 
+import hashlib
 import ipaddress
 import json
+import logging
+import os
 import re
 import socket
+import time
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
 from html import unescape
 from html.parser import HTMLParser
+from typing import NamedTuple
 from urllib.parse import urljoin, urlparse
 from urllib.robotparser import RobotFileParser
 
@@ -28,6 +33,8 @@ from pyspark.sql import types as T
 from tessera.functions.text import normalize_ws, parse_datetime, stable_hash, text_hash, unwrap_archive_fragment
 from tessera.plans.config import Source
 
+LOG = logging.getLogger(__name__)
+
 #: Where article text is looked for, in this order, and the types of JSON-LD articles.
 SELECTORS = (".article-body", "#content-body", ".mrf-article-body", "article", "main")
 ARTICLE_TYPES = ("NewsArticle", "Article", "BlogPosting")
@@ -206,7 +213,12 @@ def sitemap_urls(xml: Column | str) -> Column:
 def _items(xml: str | None) -> list[tuple]:
     text = lambda e, *tags: next((squeeze(n.text) for t in tags if (n := e.find(t)) is not None and n.text and squeeze(n.text)), None)
     out = []
-    for e in ET.fromstring(xml).iterfind(".//item") if xml else ():
+    try:
+        root = ET.fromstring(xml or "<none/>")
+    except ET.ParseError as e:
+        LOG.warning("a feed can't be read: %s", e)
+        return out
+    for e in root.iterfind(".//item"):
         link = text(e, "link")
         if link:
             summary = squeeze(" ".join(read_page(text(e, "description"), ()).body))
@@ -219,7 +231,7 @@ _ITEM = ("title", "link", "summary", "author", "published", "guid", "categories"
 
 @F.pandas_udf(T.ArrayType(T.StructType([*_strings(*_ITEM[:-1]).fields, T.StructField("categories", T.ArrayType(T.StringType()))])))
 def feed_items(xml: pd.Series) -> pd.Series:
-    """Items of an RSS feed that have a link, in order."""
+    """Items of an RSS feed that have a link, in order; a feed that can't be read has none."""
     return xml.map(lambda x: [dict(zip(_ITEM, i)) for i in _items(x)])
 
 
@@ -243,11 +255,12 @@ def archive_items(fragment: Column, base: str, title_include: str | None = None)
     return read(unwrap_archive_fragment(fragment))
 
 
-def allowed_url(url: Column | str, include: list[str] | None) -> Column:
-    """Whether an address holds any of the given pieces; no list lets all pass."""
+def allowed_url(url: Column | str, include: str | list[str] | None) -> Column:
+    """Whether an address holds the given piece, or any of several; None lets all pass."""
     u = F.col(url) if isinstance(url, str) else url
     if include is None:
         return F.lit(True)
+    include = [include] if isinstance(include, str) else include
     return F.exists(F.array(*(F.lit(x) for x in include)).cast("array<string>"), lambda n: F.contains(u, n))
 
 
@@ -258,18 +271,24 @@ def discovered(found: DataFrame, order: str, source: Column, limit: int) -> Data
 
 
 def cache_path(url: Column | str) -> Column:
-    """Where a fetched page is kept: host, then hash."""
+    """Where a fetched page is kept: host and port, then hash."""
     u = F.col(url) if isinstance(url, str) else url
-    return F.concat(F.parse_url(u, F.lit("HOST")), F.lit("/"), F.substring(F.sha2(u, 256), 1, 32), F.lit(".html"))
+    return F.concat(F.replace(F.parse_url(u, F.lit("AUTHORITY")), F.lit(":"), F.lit("_")), F.lit("/"), F.substring(F.sha2(u, 256), 1, 32), F.lit(".html"))
 
 
 def is_safe_url(url: Column | str) -> Column:
     """Rules that an address's text decides: http or https, no control characters or credentials, a host that isn't local.
-    Numeric hosts are refused here; safe_url() decides them exactly."""
+    A dotted IPv4 host passes if it is public; other numeric hosts are refused here, and decided exactly by safe_url()."""
     u = F.col(url) if isinstance(url, str) else url
     host = F.lower(F.regexp_extract(u, "^[A-Za-z]+://(?:[^/?#@]*@)?(\\[[^\\]]*\\]|[^/:?#]*)", 1))
+    part = lambda k: F.try_element_at(F.split(host, "\\."), F.lit(k)).try_cast("int")
+    a, b, c = part(1), part(2), part(3)
+    dotted = host.rlike("^(?:(?:25[0-5]|2[0-4]\\d|1\\d\\d|[1-9]?\\d)\\.){3}(?:25[0-5]|2[0-4]\\d|1\\d\\d|[1-9]?\\d)$")
+    local = a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
+    local = local | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
+    public = dotted & ~local
     return F.coalesce(
-        F.lower(u).rlike("^https?://") & ~u.rlike("[\\x00-\\x20\\x7f]") & ~F.lower(u).rlike("^https?://[^/?#]*@") & (host != "") & ~host.rlike("^(localhost|.*\\.localhost)$") & ~host.rlike("^(\\d+|0x[0-9a-f]+|[0-9.]+|\\[.*)$"), F.lit(False)
+        F.lower(u).rlike("^https?://") & ~u.rlike("[\\x00-\\x20\\x7f]") & ~F.lower(u).rlike("^https?://[^/?#]*@") & (host != "") & ~host.rlike("^(localhost|.*\\.localhost)$") & (public | ~host.rlike("^(\\d+|0x[0-9a-f]+|[0-9.]+|\\[.*)$")), F.lit(False)
     )
 
 
@@ -332,10 +351,14 @@ def safe_addresses(addresses: list[str]) -> list[str]:
     return out
 
 
+#: What marks an agent that nobody has filled in.
+PLACEHOLDERS = ("example.com", "example.org", "configure", "change-me", "<", ">")
+
+
 def valid_user_agent(agent: str) -> bool:
     """At least 12 characters, with a contact address, without placeholders."""
     text = " ".join(agent.split())
-    return len(text) >= 12 and bool(re.search(r"https?://[^\s)]+", text, re.I)) and not any(x in text.lower() for x in ("example.com", "example.org", "configure", "change-me", "<", ">"))
+    return len(text) >= 12 and bool(re.search(r"https?://[^\s)]+", text, re.I)) and not any(x in text.lower() for x in PLACEHOLDERS)
 
 
 def robots_rules(status: int | None, text: str = "", allow_unavailable: bool = False, refused: bool = False) -> RobotFileParser:
@@ -355,26 +378,66 @@ def robots_rules(status: int | None, text: str = "", allow_unavailable: bool = F
     return rules
 
 
+#: Answers that send on.
+REDIRECTS = (301, 302, 303, 307, 308)
+
+
+class Response(NamedTuple):
+    """What a transport brings: status, body, where it sends on, and the declared character set."""
+
+    status: int
+    body: bytes = b""
+    location: str | None = None
+    charset: str | None = None
+
+
 class Fetcher:
-    """Fetching decisions over a transport: get(url) -> (status, body bytes, location or None), with resolve(host) -> addresses."""
+    """Fetching decisions over a transport get(url, address, agent, limit) -> Response, with resolve(host, port) -> addresses.
+
+    A name is resolved once for each request; the request goes to the addresses that were checked, the
+    next one if a connection fails. get() raises OSError for a failed connection and OverflowError for more
+    than limit bytes. Requests keep a delay. With a cache_dir, fetched pages are kept under their own address.
+    """
 
-    def __init__(self, get: Callable, resolve: Callable, agent: str, allow_robots_unavailable: bool = False, max_bytes: int = 10 << 20, max_robots_bytes: int = 512 << 10, max_redirects: int = 5):
+    def __init__(
+        self, get: Callable, resolve: Callable, agent: str, allow_robots_unavailable: bool = False, max_bytes: int = 10 << 20, max_robots_bytes: int = 512 << 10, max_redirects: int = 5,
+        delay: float = 0.0, cache_dir: str | None = None, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep,
+    ):
         if not valid_user_agent(agent):
             raise ValueError("a user agent with a contact address is needed")
         self.get, self.resolve, self.agent, self.allow = get, resolve, agent, allow_robots_unavailable
         self.max_bytes, self.max_robots_bytes, self.max_redirects, self.robots = max_bytes, max_robots_bytes, max_redirects, {}
+        self.delay, self.cache_dir, self.clock, self.sleep, self.last = delay, cache_dir, clock, sleep, None
+
+    def _send(self, url: str, limit: int) -> Response:
+        """One request, to the first checked address that answers."""
+        parts = urlparse(safe_url(url))
+        try:
+            found = list(self.resolve(parts.hostname, parts.port or (443 if parts.scheme.lower() == "https" else 80)))
+        except OSError as e:
+            raise UnsafeURL(f"{parts.hostname} can't be resolved") from e
+        addresses = safe_addresses(found)
+        if self.last is not None and (wait := self.last + self.delay - self.clock()) > 0:
+            self.sleep(wait)
+        self.last, failed = self.clock(), None
+        for address in addresses:
+            try:
+                answer = Response(*self.get(url, address, self.agent, limit))
+                if len(answer.body) > limit:
+                    raise OverflowError("the response is too large")
+                return answer
+            except OSError as e:
+                failed = e
+        raise failed
 
-    def _follow(self, url: str, limit: int, check: bool) -> tuple[int, bytes]:
+    def _follow(self, url: str, limit: int, check: bool) -> tuple[int, str]:
         for _ in range(self.max_redirects + 1):
             if check and not self.can_fetch(url):
                 raise PermissionError(f"robots.txt denies {url}")
-            safe_addresses(self.resolve(urlparse(url).hostname))
-            status, body, location = self.get(url)
-            if location is None or not 300 <= status < 400:
-                if len(body) > limit:
-                    raise OverflowError("the response is too large")
-                return status, body
-            url = safe_redirect(url, location)
+            answer = self._send(url, limit)
+            if answer.status not in REDIRECTS or not answer.location:
+                return answer.status, decoded(answer.body, answer.charset)
+            url = safe_redirect(url, answer.location)
         raise UnsafeURL("too many redirects")
 
     def can_fetch(self, url: str) -> bool:
@@ -383,19 +446,44 @@ class Fetcher:
         root = f"{parts.scheme}://{parts.netloc}"
         if root not in self.robots:
             try:
-                status, body = self._follow(f"{root}/robots.txt", self.max_robots_bytes, False)
-                self.robots[root] = robots_rules(status, body.decode("utf-8", "replace"), self.allow)
+                status, text = self._follow(f"{root}/robots.txt", self.max_robots_bytes, False)
+                self.robots[root] = robots_rules(status, text, self.allow)
             except (UnsafeURL, OverflowError):
                 self.robots[root] = robots_rules(None, refused=True)
             except OSError:
                 self.robots[root] = robots_rules(None, allow_unavailable=self.allow)
         return self.robots[root].can_fetch(self.agent, url)
 
-    def fetch(self, url: str) -> str:
-        """Text of a page."""
-        status, body = self._follow(safe_url(url), self.max_bytes, True)
+    def kept_path(self, url: str) -> str | None:
+        """Where the page of an address is kept, as cache_path() says."""
+        host = urlparse(safe_url(url)).netloc.replace(":", "_")
+        return self.cache_dir and os.path.join(self.cache_dir, host, hashlib.sha256(url.encode()).hexdigest()[:32] + ".html")
+
+    def fetch(self, url: str, use_cache: bool = True) -> tuple[str, str | None, bool]:
+        """(text of a page, where it is kept, whether it was there before)."""
+        path = self.kept_path(url)
+        if use_cache and path and os.path.exists(path):
+            if os.path.getsize(path) > self.max_bytes:
+                raise OverflowError("the stored response is too large")
+            with open(path, encoding="utf-8", errors="replace") as f:
+                return f.read(), path, True
+        status, text = self._follow(url, self.max_bytes, True)
         if status >= 400:
             raise OSError(f"status {status}")
+        if len(body := text.encode()) > self.max_bytes:
+            raise OverflowError("the response is too large")
+        if path:
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "wb") as f:
+                f.write(body)
+        return text, path, False
+
+
+def decoded(body: bytes, charset: str | None) -> str:
+    """Text of a body; an unknown character set counts as UTF-8, what doesn't decode is replaced."""
+    try:
+        return body.decode(charset or "utf-8", "replace")
+    except LookupError:
         return body.decode("utf-8", "replace")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import extraction as E
 from tessera.operators import resolution as R
 from tessera.operators import signals as S
-from tessera.plans.config import AppConfig, KnownEntity, Project, Resolver, Scoring, Signals, Source, expand_env, load_config
+from tessera.plans.config import AppConfig, Extraction, Graph, KnownEntity, Project, Resolver, Scoring, Signals, Source, expand_env, load_config
 from tessera.plans.pipeline import DOCUMENT, Engine
 from tessera.functions.text import text_hash
 
@@ -64,7 +64,14 @@ def test_cache_identity():
     a = E.cache_identity(c)
     assert a[:2] == ("dev", E.MODEL) and a != E.cache_identity(AppConfig(known_entities=KNOWN[:2]))
     c.llm.provider = "auto"
-    assert E.cache_identity(c, {}) == a and E.cache_identity(c, {"EXTRACTION_API_KEY": "k"})[0] == "external"
+    assert E.cache_identity(c, {}) == a and E.cache_identity(c, {E.HOSTED_KEY: "k"})[0] == E.HOSTED
+    # the order of names and aliases and the similarity threshold don't count
+    turned = AppConfig(known_entities=[KnownEntity(e.name, e.entity_type, e.aliases[::-1]) for e in KNOWN[::-1]], resolver=Resolver(similarity_threshold=0.5))
+    assert E.cache_identity(turned, {}) == a
+    assert E.cache_identity(AppConfig(known_entities=KNOWN, resolver=Resolver(aliases={"x": ["y"]})), {}) != a
+    for bad in (lambda: Extraction(provider="other"), lambda: KnownEntity("x", "robot"), lambda: Graph(backend="other")):
+        with pytest.raises(ValueError):
+            bad()
     for bad in ("", "legacy"):
         with pytest.raises(ValueError):
             E.check_policy(bad)
@@ -111,7 +118,7 @@ def engine(spark, tmp_path):
     config = AppConfig(project=Project(database_path=str(tmp_path / "state"), output_dir=str(tmp_path / "out")), known_entities=[KnownEntity("Pemex", "company", []), KnownEntity("CNTE", "organization", [])])
     config.scoring.null_model_samples = 4
     config.signals = Signals(low_attention_threshold=0.3, structural_novelty_threshold=0.2, small_note_min_score=0.35)
-    config.sources = [Source("gov", "gob_presidency", "official_government", attention_weight=1.0), Source("col", "rss_feed", "independent_opinion", attention_weight=0.25)]
+    config.sources = [Source("gov", "gob_presidency", side="official_government", attention_weight=1.0), Source("col", "rss_feed", side="independent_opinion", attention_weight=0.25)]
     return Engine(spark, config)
 
 
@@ -153,7 +160,7 @@ def test_run_end_to_end(spark, engine):
 
 def test_external_provider_is_grounded(spark, engine):
     engine.ingest(documents(spark, SMALL))
-    engine.config.llm.provider, engine.config.llm.model = "external", "m"
+    engine.config.llm.provider, engine.config.llm.model = E.HOSTED, "m"
     entities = "array<struct<name:string,entity_type:string,quote:string,confidence:double>>"
     given = lambda docs: docs.select(F.col("id").alias("document_id"), F.array(F.struct(F.lit("Pemex").alias("name"), F.lit("company").alias("entity_type"), F.lit("mentions Pemex").alias("quote"), F.lit(0.9).alias("confidence")), F.struct(F.lit("Ghost").alias("name"), F.lit("person").alias("entity_type"), F.lit("mentions").alias("quote"), F.lit(0.9).alias("confidence"))).cast(entities).alias("entities"), F.array().cast(f"array<{RELATION}>").alias("relations"), F.array().cast("array<string>").alias("warnings"))
     assert engine.extract(given) == 1

@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.plans.config import Source
+from tessera.plans.config import AppConfig, Project, Source
+from tessera.plans.pipeline import Engine
+from tessera.sources import collect
 from tessera.sources import web as Wb
 
 LONG = "Texto del artículo con contenido suficiente. " * 12
@@ -34,7 +36,7 @@ def test_page_udfs(spark):
 def test_feed_documents(spark):
     items = spark.createDataFrame([(FEED,)], "xml string").select(F.posexplode(Wb.feed_items("xml")).alias("pos", "i")).select("pos", "i.*").withColumns({"fetched_at": F.current_timestamp(), "path": F.lit("f.xml")})
     assert [r["link"] for r in items.orderBy("pos").collect()] == ["https://n.test/1", "https://n.test/2"]
-    source = Source("feed", "rss_feed", "side", fetch_article=False, min_text_chars=5, attention_weight=0.3)
+    source = Source("feed", "rss_feed", side="side", fetch_article=False, min_text_chars=5, attention_weight=0.3)
     docs = {r["url"]: r for r in Wb.collect_feed(items, source).collect()}
     r = docs["https://n.test/1"]
     assert r["text"] == "Uno. Resumen largo" and r["author"] == "Ana" and r["metadata"]["feed_rank"] == "1" and r["metadata"]["source_attention_weight"] == "0.3" and str(r["published_at"]) == "2026-06-08 12:00:00"
@@ -87,12 +89,12 @@ def test_fetcher():
     web = {"https://a.test/robots.txt": (200, b"User-agent: *\nAllow: /", None), "https://a.test/x": (302, b"", "https://b.test/y"), "https://b.test/robots.txt": (200, b"User-agent: *\nDisallow: /y", None), "https://a.test/ok": (200, "sí".encode(), None), "https://a.test/loop": (302, b"", "/loop"), "https://a.test/big": (200, b"x" * 99, None)}
     asked = []
 
-    def get(url):
+    def get(url, address, agent, limit):
         asked.append(url)
         return web[url]
 
-    fetcher = Wb.Fetcher(get, lambda host: ["10.0.0.1"] if host == "in.test" else ["8.8.8.8"], "collector/1.0 (+https://press.test/c)", max_bytes=50)
-    assert fetcher.fetch("https://a.test/ok") == "sí"
+    fetcher = Wb.Fetcher(get, lambda host, port: ["10.0.0.1"] if host == "in.test" else ["8.8.8.8"], "collector/1.0 (+https://press.test/c)", max_bytes=50)
+    assert fetcher.fetch("https://a.test/ok") == ("sí", None, False)
     with pytest.raises(PermissionError):
         fetcher.fetch("https://a.test/x")
     assert "https://b.test/y" not in asked
@@ -105,5 +107,129 @@ def test_fetcher():
 
 
 def test_url_columns(spark):
-    rows = spark.createDataFrame([("https://n.test/a",), ("http://localhost/",), ("ftp://x",), ("http://127.1/",), (None,)], "url string").select(Wb.is_safe_url("url").alias("s"), Wb.cache_path("url").alias("p")).collect()
-    assert [r["s"] for r in rows] == [True, False, False, False, False] and rows[0]["p"].startswith("n.test/") and rows[0]["p"].endswith(".html")
+    rows = spark.createDataFrame([("https://n.test/a",), ("http://localhost/",), ("ftp://x",), ("http://127.1/",), (None,), ("http://8.8.8.8/x",), ("http://172.20.1.1/",), ("http://10.0.0.1:80/",), ("http://n.test:8080/a",)], "url string").select(Wb.is_safe_url("url").alias("s"), Wb.cache_path("url").alias("p")).collect()
+    assert [r["s"] for r in rows] == [True, False, False, False, False, True, False, False, True] and rows[8]["p"].startswith("n.test_8080/") and rows[0]["p"].startswith("n.test/") and rows[0]["p"].endswith(".html")
+
+
+AGENT = "collector/1.0 (+https://press.test/c)"
+ROBOTS = Wb.Response(200, b"User-agent: *\nAllow: /")
+
+
+def test_requests_go_to_the_checked_address():
+    """One resolution for each request; the next checked address if one fails; nothing is sent to a name that changed to a local one."""
+    answers, sent, names = [["8.8.8.8"], ["9.9.9.9", "8.8.4.4"], ["10.0.0.1"]], [], []
+
+    def resolve(host, port):
+        names.append((host, port))
+        return answers[len(names) - 1]
+
+    def get(url, address, agent, limit):
+        sent.append((url, address))
+        if address == "8.8.4.4":
+            raise OSError("no answer")
+        return ROBOTS if url.endswith("robots.txt") else Wb.Response(200, b"page")
+
+    fetcher = Wb.Fetcher(get, resolve, AGENT)
+    assert fetcher.fetch("https://n.test/a")[0] == "page"
+    assert sent == [("https://n.test/robots.txt", "8.8.8.8"), ("https://n.test/a", "9.9.9.9")]
+    with pytest.raises(Wb.UnsafeURL):
+        fetcher.fetch("https://n.test/b")  # robots are known; the name now leads to a local address
+    assert len(sent) == 2 and names == [("n.test", 443)] * 3
+    answers.append(["8.8.4.4", "9.9.9.9"])
+    assert fetcher.fetch("https://n.test/c")[0] == "page" and [a for _, a in sent[2:]] == ["8.8.4.4", "9.9.9.9"]
+
+
+def test_delay_cache_and_limits(tmp_path):
+    now, waits, sent = [0.0], [], []
+
+    def get(url, address, agent, limit):
+        sent.append(url)
+        return ROBOTS if url.endswith("robots.txt") else Wb.Response(200, "sí".encode("latin-1"), None, "latin-1")
+
+    make = lambda **k: Wb.Fetcher(get, lambda h, p: ["8.8.8.8"], AGENT, cache_dir=str(tmp_path), delay=1.0, clock=lambda: now[0], sleep=waits.append, **k)
+    fetcher = make()
+    text, path, cached = fetcher.fetch("http://n.test:81/a")
+    assert text == "sí" and not cached and "n.test_81" in path and waits == [1.0]
+    assert fetcher.fetch("http://n.test:81/a") == ("sí", path, True) and len(sent) == 2
+    assert not fetcher.fetch("http://n.test:81/a", use_cache=False)[2] and len(sent) == 3
+    with pytest.raises(OverflowError):
+        make(max_bytes=1).fetch("http://n.test:81/a")
+    parts = iter([b"x" * 10] * 3 + [b""])
+    with pytest.raises(OverflowError):
+        collect.read_limited(lambda n: next(parts), None, 25)
+    with pytest.raises(OverflowError):
+        collect.read_limited(lambda n: pytest.fail("read"), "26", 25)
+    assert Wb.decoded("é".encode(), "no-such-set") == "é"
+
+
+def test_transport_keeps_host_and_address():
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.send_header("Content-Type", "text/plain; charset=latin-1")
+            self.end_headers()
+            self.wfile.write(f"{self.headers['Host']} {self.path} {self.headers['User-Agent']}".encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    port = server.server_address[1]
+    answer = collect.get(f"http://no-such-name.test:{port}/a?b=1", "127.0.0.1", AGENT, 1000)
+    server.shutdown()
+    assert answer == Wb.Response(200, f"no-such-name.test:{port} /a?b=1 {AGENT}".encode(), None, "latin-1")
+
+
+def test_one_bad_feed_has_no_items(spark):
+    rows = spark.createDataFrame([("<rss><broken",), (FEED,), (None,)], "xml string").select(F.size(Wb.feed_items("xml")).alias("n")).collect()
+    assert [r["n"] for r in rows] == [0, 2, 0]
+
+
+def test_url_include_is_a_text_or_a_list(spark):
+    urls = spark.createDataFrame([("https://n.test/opinion/a",), ("https://n.test/zzz",)], "url string")
+    for include, kept in (("/opinion/", 1), (["/opinion/", "zzz"], 2), (None, 2), ([], 0)):
+        assert urls.where(Wb.allowed_url("url", include)).count() == kept
+
+
+def test_collection_from_the_configuration(spark, tmp_path):
+    sitemap = '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://n.test/op/1</loc></url><url><loc>https://n.test/x</loc></url><url><loc>https://n.test/op/2</loc></url></urlset>'
+    archive = r'<article><h2>Versión uno<\/h2><a href=\"\/p\/1\">x<\/a><time date=\"2026-06-01\"><\/time><\/article>'
+    pages = {
+        "https://n.test/feed": FEED, "https://n.test/map": sitemap, "https://n.test/op/2": PAGE, "https://www.gob.mx/p/1": PAGE, "https://n.test/arch?p=1": archive, "https://n.test/arch?p=2": "",
+        "https://n.test/list": '<a href="/op/2">a</a><a href="/other">b</a>',
+    }
+    asked = []
+
+    def get(url, address, agent, limit):
+        asked.append(url)
+        if url.endswith("robots.txt"):
+            return ROBOTS
+        return Wb.Response(200, pages[url].encode()) if url in pages else Wb.Response(404)
+
+    config = AppConfig(project=Project(user_agent=AGENT, database_path=str(tmp_path / "s"), cache_dir=str(tmp_path / "c"), output_dir=str(tmp_path / "o")))
+    config.sources = [
+        Source("feed", "rss_feed", True, "press", feed_url="https://n.test/feed", fetch_article=False, min_text_chars=5),
+        Source("column", "sitemap_column", True, "press", sitemap_url="https://n.test/map", url_include="/op/"),
+        Source("list", "listing_column", True, "press", listing_url="https://n.test/list", url_include=["/op/"]),
+        Source("gov", "gob_presidency", True, "official_government", archive_url="https://n.test/arch?p={page}", max_pages=2, title_include="Versión"),
+        Source("off", "rss_feed", feed_url="https://n.test/off"), Source("odd", "unknown", True),
+    ]
+    fetcher = Wb.Fetcher(get, lambda h, p: ["8.8.8.8"], AGENT)
+    assert [type(c).__name__ for c in collect.build_collectors(config, fetcher)] == ["FeedCollector", "ColumnCollector", "ColumnCollector", "ArchiveCollector"]
+    rows = {(r["source_name"], r["url"]): r for r in collect.collect(spark, config, fetcher).collect()}
+    assert set(rows) == {("feed", "https://n.test/1"), ("feed", "https://n.test/2"), ("column", "https://n.test/op/2"), ("list", "https://n.test/op/2"), ("gov", "https://www.gob.mx/p/1")} - {("feed", "https://n.test/2")} | {k for k in rows if k == ("feed", "https://n.test/2")}
+    assert rows[("column", "https://n.test/op/2")]["metadata"]["listing_rank"] == "2" and str(rows[("gov", "https://www.gob.mx/p/1")]["published_at"])[:10] == "2026-06-01"
+    assert "https://n.test/off" not in asked and "https://n.test/x" not in asked
+    config.sources = config.sources[:2]
+    engine = Engine(spark, config)
+    assert engine.collect(fetcher) == engine.documents().count() > 1
+    ident = rows[("column", "https://n.test/op/2")]["id"]
+    assert engine.get_document(ident).first()["url"] == "https://n.test/op/2" and engine.get_document("none").count() == 0
+    config.sources = [Source("off", "rss_feed", feed_url="https://n.test/off")]
+    assert collect.collect(spark, config) is None  # and no agent is asked for
+    with pytest.raises(ValueError):
+        collect.build_collectors(AppConfig(sources=[Source("gov", "gob_presidency", True)]), fetcher)
