@@ -86,8 +86,14 @@ def contains_words(text_norm: Column | str, alias_norm: Column | str) -> Column:
 
 def find_quote_window(text: Column | str, needle: Column | str, window: int = 220) -> Column:
     """The text around the needle's first place, case apart; the needle itself where there is none."""
-    t, n = normalize_ws(text), normalize_ws(needle)
-    at = F.instr(F.lower(t), F.lower(n))
+    plain = normalize_ws(text)
+    return quote_window(plain, F.lower(plain), needle, window)
+
+
+def quote_window(plain: Column | str, low: Column | str, needle: Column | str, window: int = 220) -> Column:
+    """find_quote_window() of a text whose white space is normalised already, with its lower-case form: for several needles in one text."""
+    t, n = _col(plain), normalize_ws(needle)
+    at = F.instr(_col(low), F.lower(n))
     start = F.greatest(F.lit(1), at - window // 2)
     end = F.least(F.length(t), at - 1 + F.length(n) + window // 2)
     return F.when(at == 0, F.substring(n, 1, window)).otherwise(normalize_ws(F.substr(t, start, end - start + 1)))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.text import citation_text, contains_words, find_quote_window, is_acronym, normalize_name, normalize_ws, split_sentences, stable_hash
+from tessera.functions.text import citation_text, contains_words, is_acronym, normalize_name, normalize_ws, quote_window, split_sentences, stable_hash
 from tessera.plans.config import AppConfig
 
 PROVIDER, MODEL = "dev", "heuristic-known-entities-v1"
@@ -52,11 +52,16 @@ def with_found(docs: DataFrame, catalogue: DataFrame) -> DataFrame:
     return hits.select("id", "text", found.alias("found"))
 
 
-def find_mentions(docs: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(id, pos, name, entity_type, quote, confidence, text): catalogue entities in each text; the last alias that
-    matches gives quote and confidence."""
-    rows = with_found(docs, catalogue).select("id", "text", F.explode("found").alias("m"))
-    return rows.select("id", "m.pos", "m.name", "m.entity_type", find_quote_window("text", "m.alias").alias("quote"), "m.confidence", "text")
+def find_mentions(docs: DataFrame, catalogue: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(id, pos, name, entity_type, quote, confidence, verbatim): catalogue entities in each text; the last alias that
+    matches gives quote and confidence; verbatim: whether the quote stands in the text. found: with_found(), where it is at hand.
+    A text's white space and case are normalised once for all of its mentions."""
+    own = (with_found(docs, catalogue) if found is None else found).where(F.size("found") > 0)
+    plain = own.select("id", "found", F.explode(F.array(normalize_ws("text"))).alias("plain"))
+    low = plain.select("id", "found", "plain", F.explode(F.array(F.lower("plain"))).alias("low"))
+    rows = low.select("id", "plain", "low", F.explode("found").alias("m")).select("id", "m.*", "low", F.explode(F.array(quote_window("plain", "low", "m.alias"))).alias("quote"))
+    quote = F.lower(normalize_ws("quote"))
+    return rows.select("id", "pos", "name", "entity_type", "quote", "confidence", ((quote != "") & F.contains("low", quote)).alias("verbatim"))
 
 
 def is_verbatim(quote: Column | str, text: Column | str) -> Column:
@@ -65,13 +70,13 @@ def is_verbatim(quote: Column | str, text: Column | str) -> Column:
     return (q != "") & F.contains(F.lower(normalize_ws(text)), F.lower(q))
 
 
-def extract_entities(docs: DataFrame, catalogue: DataFrame) -> DataFrame:
+def extract_entities(docs: DataFrame, catalogue: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Mentions whose quote is verbatim."""
-    return find_mentions(docs, catalogue).where(is_verbatim("quote", "text")).drop("text")
+    return find_mentions(docs, catalogue, found).where("verbatim").drop("verbatim")
 
 
-def co_mentions(docs: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(id, sentence_no, subject, ..., quote, confidence): pairs of entities that share a sentence. docs: id, text.
+def co_mentions(docs: DataFrame, catalogue: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(id, sentence_no, subject, ..., quote, confidence): pairs of entities that share a sentence. docs: id, text; found: as in find_mentions().
 
     Entities are those of find_mentions(), before the check of their quotes, in catalogue order; of a
     sentence the first 8 pair up, equal pairs with the same first 80 characters count once, and a
@@ -79,7 +84,7 @@ def co_mentions(docs: DataFrame, catalogue: DataFrame) -> DataFrame:
     """
     terms = _terms(catalogue).groupBy("pos").agg(F.first("name").alias("name"), F.first("entity_type").alias("entity_type"), F.collect_set("alias_norm").alias("norms"))
     all_terms = F.broadcast(terms.groupBy().agg(F.array_sort(F.collect_list(F.struct("pos", "name", "entity_type", "norms"))).alias("entries")))
-    own = with_found(docs, catalogue).where(F.size("found") >= 2)
+    own = (with_found(docs, catalogue) if found is None else found).where(F.size("found") >= 2)
     texts = own.select("id", F.substring("text", 1, SCANNED_CHARS).alias("head"), F.explode(F.array("found")).alias("found")).crossJoin(all_terms)
     present = F.filter("entries", lambda e: F.exists("found", lambda f: f["pos"] == e["pos"]))
     known = texts.select("id", "found", "head", F.explode(F.array(present)).alias("entries")).where(F.size("entries") >= 2)

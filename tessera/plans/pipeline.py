@@ -74,8 +74,9 @@ class Engine:
         extraction.check_policy(fingerprint)
         todo = extraction.split_by_cache(docs, self._valid())[1] if self.config.llm.cache_extractions else docs
         if provider is None:
-            found = extraction.extract_entities(todo, self._catalogue()).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "entity_type", "quote", "confidence"))).alias("e"))
-            pairs = extraction.co_mentions(todo, self._catalogue()).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("sentence_no", "i", "j", "subject", "subject_type", "predicate", "object", "object_type", "quote", "confidence", "assertion_type"))).alias("r"))
+            both = extraction.with_found(todo, self._catalogue()).where(F.size("found") > 0).persist()
+            found = extraction.extract_entities(todo, self._catalogue(), both).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "entity_type", "quote", "confidence"))).alias("e"))
+            pairs = extraction.co_mentions(todo, self._catalogue(), both).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("sentence_no", "i", "j", "subject", "subject_type", "predicate", "object", "object_type", "quote", "confidence", "assertion_type"))).alias("r"))
             rows = todo.select("id", "text_hash").join(found, "id", "left").join(pairs, "id", "left")
             drop = lambda c, *names: F.transform(F.coalesce(c, F.array().cast(rows.schema[c].dataType)), lambda x: x.dropFields(*names))
             rows = rows.select(F.col("id").alias("document_id"), "text_hash", drop("e", "pos").alias("entities"), drop("r", "sentence_no", "i", "j").alias("relations"), F.array(F.lit("development extractor: CO_MENTIONED_WITH only states that both occur in the text")).alias("warnings"))

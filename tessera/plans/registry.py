@@ -95,7 +95,7 @@ def sentences(spark, sf_dir):
 def quote_windows(spark, sf_dir):
     """The quote around each mention and whether it is verbatim."""
     rows = extraction.find_mentions(adapters.corpus(spark, sf_dir), adapters.catalogue(spark))
-    return rows.select("id", "name", "quote", extraction.is_verbatim("quote", "text").alias("verbatim"))
+    return rows.select("id", "name", "quote", "verbatim")
 
 
 def dev_entities(spark, sf_dir):
@@ -114,7 +114,8 @@ def _corpus_relations(spark, sf_dir):
     """(docs, seeds, names, resolved, relations) of the corpus adapter."""
     docs, terms = adapters.corpus(spark, sf_dir), adapters.catalogue(spark)
     # read by several branches below; Spark spills what memory can't hold
-    found, pairs = extraction.extract_entities(docs, terms).persist(), extraction.co_mentions(docs, terms).persist()
+    both = extraction.with_found(docs, terms).where(F.size("found") > 0).persist()
+    found, pairs = extraction.extract_entities(docs, terms, both).persist(), extraction.co_mentions(docs, terms, both).persist()
     seeds = resolution.seed_aliases(spark, CONFIG)
     names = resolution.distinct_names(resolution.mentioned(found, pairs)).persist()
     resolved = resolution.resolve_names(names, seeds, CONFIG.resolver.similarity_threshold).persist()
