@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import centrality, export, extraction, graph_store, resolution, scoring, signals
+from tessera.plans import store_queries
 from tessera.plans.config import AppConfig, Scoring, Signals
 from tessera.plans.oracles import ORACLES
 from tessera.sources import adapters, web
@@ -297,4 +298,6 @@ QUERIES = {
         bridge_ranking, attention, small_notes, morning_readings, fuzzy_resolution, page_text, page_meta, property_graph_nodes, property_graph_edges,
     )
 }
+QUERIES |= store_queries.QUERIES
+ORACLES = {**ORACLES, **store_queries.ORACLES}
 __all__ = ["ORACLES", "QUERIES"]
