@@ -33,9 +33,10 @@ def incidence(pairs: DataFrame) -> DataFrame:
 
 def degrees(pairs: DataFrame) -> DataFrame:
     """(node, degree, source_sides): a self-loop adds two to the degree; sides are those of all neighbouring edges."""
-    return incidence(pairs).groupBy("node").agg(
-        F.sum(F.when(F.col("node") == F.col("neighbour"), 2).otherwise(1)).alias("degree"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_sides")))).alias("source_sides")
-    )
+    # each edge once and its sides one by one, so that partial sets stay as small as the number of sides
+    own = F.when(F.col("node") == F.col("neighbour"), 2).otherwise(1)
+    rows = incidence(pairs).select("node", own.alias("times"), F.posexplode_outer("source_sides").alias("pos", "side"))
+    return rows.groupBy("node").agg(F.sum(F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("times")).otherwise(0)).alias("degree"), F.array_sort(F.collect_set("side")).alias("source_sides"))
 
 
 def dependencies(starts: np.ndarray, ends: np.ndarray, sources: np.ndarray) -> np.ndarray:
@@ -88,22 +89,22 @@ def betweenness(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     if n > BROADCAST_NODES or m > BROADCAST_EDGES:
         return _betweenness_joined(nodes, simple, scale)
     spark = nodes.sparkSession
-    names = nodes.orderBy("node").toPandas()["node"]
-    number = pd.Series(np.arange(n), index=names)
-    edges = simple.toPandas()
-    shared = spark.sparkContext.broadcast((*csr(n, number[edges["u"]].to_numpy(), number[edges["v"]].to_numpy()), names.to_numpy()))
+    # numbered in Spark, so that the driver and the tasks hold integers only: BROADCAST_EDGES pairs at most
+    place = nodes.select("node", (F.row_number().over(W.orderBy("node")) - 1).cast("long").alias("number")).persist()  # BROADCAST_NODES rows at most
+    ends = simple.join(place.select(F.col("node").alias("u"), F.col("number").alias("a")), "u").join(place.select(F.col("node").alias("v"), F.col("number").alias("b")), "v").select("a", "b").toArrow()
+    shared = spark.sparkContext.broadcast(csr(n, ends["a"].to_numpy(), ends["b"].to_numpy()))
 
     def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        starts, ends, names = shared.value
-        total = np.zeros(len(names))
+        starts, ends = shared.value
+        total = np.zeros(len(starts) - 1)
         for part in parts:
             total += dependencies(starts, ends, part["id"].to_numpy())
         some = np.flatnonzero(total)
-        yield pd.DataFrame({"node": names[some], "part": total[some]})
+        yield pd.DataFrame({"number": some, "part": total[some]})
 
     tasks = max(1, min(n // 16, spark.sparkContext.defaultParallelism * 4))
-    summed = spark.range(0, n, 1, tasks).mapInPandas(walk, f"node {dict(nodes.dtypes)['node']}, part double").groupBy("node").agg(F.sum("part").alias("part"))
-    return nodes.join(summed, "node", "left").select("node", (F.coalesce("part", F.lit(0.0)) * scale).alias("betweenness"))
+    summed = spark.range(0, n, 1, tasks).mapInPandas(walk, "number long, part double").groupBy("number").agg(F.sum("part").alias("part"))
+    return place.join(summed, "number", "left").select("node", (F.coalesce("part", F.lit(0.0)) * scale).alias("betweenness"))
 
 
 def _betweenness_joined(nodes: DataFrame, simple: DataFrame, scale: float) -> DataFrame:

@@ -79,25 +79,38 @@ def specificity(touched: DataFrame, candidates: DataFrame, scoring: Scoring = Sc
 
 
 def temporal(touched: DataFrame, corpus: DataFrame, scoring: Scoring = Scoring()) -> DataFrame:
-    """Concentration of each entity's dated evidence in its best window. corpus: published_at of all evidence."""
+    """Concentration of each entity's dated evidence in its best window. corpus: published_at of all evidence.
+
+    Evidence is first counted by entity and time. All frames begin at the first row, so that each takes one
+    pass: what a window holds is a difference of running sums, and it has several sides if the next
+    change of side falls into it.
+    """
     days = scoring.temporal_window_days
     span = corpus.agg(F.greatest(F.lit(1), F.datediff(F.max("published_at"), F.min("published_at")) + 1).alias("span"))
     dated = touched.where("published_at is not null")
-    w = f"(PARTITION BY entity_id ORDER BY published_at RANGE BETWEEN CURRENT ROW AND INTERVAL {days} DAYS FOLLOWING)"
-    seen = dated.selectExpr("entity_id", "published_at", f"count(*) OVER {w} AS inside", f"collect_set(coalesce(source_side, 'unknown')) OVER {w} AS sides")
-    best = seen.groupBy("entity_id").agg(F.count("*").alias("total"), F.max_by(F.struct("inside", F.size("sides").alias("sides"), F.col("published_at").alias("start")), F.struct("inside", -F.unix_micros(F.col("published_at").cast("timestamp")))).alias("best"))
+    side = F.coalesce("source_side", F.lit("unknown"))
+    times = dated.groupBy("entity_id", "published_at").agg(F.count("*").alias("n"), F.min(side).alias("low"), F.max(side).alias("high"))
+    order = "PARTITION BY entity_id ORDER BY published_at"
+    running = times.selectExpr(
+        "*", f"sum(n) OVER ({order} RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL {days} DAYS FOLLOWING) AS reached",
+        f"coalesce(sum(n) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS before", f"low <> high OR low <> lag(low) OVER ({order}) AS changed",
+    )
+    later = f"min(CASE WHEN changed THEN published_at END) OVER ({order} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    seen = running.selectExpr("entity_id", "published_at", "n", "reached - before AS inside", f"low <> high OR coalesce({later} <= published_at + INTERVAL {days} DAYS, false) AS several")
+    first = F.struct("inside", -F.unix_micros(F.col("published_at").cast("timestamp")))
+    best = seen.groupBy("entity_id").agg(F.sum("n").alias("total"), F.max_by(F.struct("inside", "several", F.col("published_at").alias("start")), first).alias("best"))
     # one row holds the corpus span
     rows = best.crossJoin(F.broadcast(span)).select("entity_id", "total", "span", "best.*")
     enough = F.col("total") >= 2
     wide = F.col("span") > days
     lift = F.when(wide, (F.col("inside") / F.col("total")) / F.least(F.lit(1.0), F.lit(float(days)) / F.col("span"))).otherwise(1.0)
     base = F.when(wide, clamp01((lift - 1) / 3)).otherwise(0.15)
-    score = F.when(F.col("sides") >= 2, clamp01(base + 0.15)).otherwise(base)
+    score = F.when(F.col("several"), clamp01(base + 0.15)).otherwise(base)
     return rows.select(
         "entity_id", F.when(enough, score).otherwise(0.0).alias("temporal_score"), F.when(enough, F.col("inside")).otherwise(F.col("total")).alias("max_window_evidence_count"), F.col("total").alias("total_dated_count"),
         F.when(enough, F.col("span")).otherwise(0).alias("corpus_span_days"), F.when(enough, lift).otherwise(0.0).alias("lift_over_uniform"), F.when(enough, F.col("start")).alias("window_start"),
         F.when(enough, F.timestamp_add("DAY", F.lit(days), F.col("start"))).alias("window_end"),
-        F.when(enough, notes((~wide, "corpus_span_not_wider_than_window"), (F.col("sides") >= 2, "multi_side_evidence_inside_window"))).otherwise(F.array(F.lit("insufficient_temporal_evidence"))).alias("temporal_notes"),
+        F.when(enough, notes((~wide, "corpus_span_not_wider_than_window"), (F.col("several"), "multi_side_evidence_inside_window"))).otherwise(F.array(F.lit("insufficient_temporal_evidence"))).alias("temporal_notes"),
     ).withColumn("temporal_passed", F.col("temporal_score") >= scoring.temporal_threshold)
 
 
