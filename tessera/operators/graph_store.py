@@ -108,45 +108,83 @@ def counts(entities: DataFrame, edges: DataFrame, evidence: DataFrame) -> DataFr
     return one(entities, "entities").unionByName(one(edges, "edges")).unionByName(one(evidence, "evidence"))
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer has switched the tables since they were read; nothing was changed."""
+
+
 class SnapshotStore:
-    """Tables as immutable Parquet snapshots; a pointer file, renamed into place, names the current ones.
+    """Tables as immutable Parquet snapshots; numbered version files name the current ones.
 
-    A failed write leaves the pointer, and so all readers, where they were.
+    A version file is created only if it doesn't exist, so of two writers that read the same version one
+    succeeds and the other gets ConcurrentWrite. A failed write leaves all readers where they were.
+    Snapshots that none of the last `keep` versions names are deleted after a commit.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, keep: int = 10):
+        self.spark, self.root, self.keep, self.seen = spark, root.rstrip("/"), keep, None
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self.fs.mkdirs(self._path(self.root))
+        self.fs.mkdirs(self._path(f"{self.root}/versions"))
+
+    def versions(self) -> list[int]:
+        """Numbers of all version files, in order."""
+        return sorted(int(f.getPath().getName()) for f in self.fs.listStatus(self._path(f"{self.root}/versions")) if f.getPath().getName().isdigit())
 
-    def _pointer(self) -> dict[str, str]:
-        at = self._path(f"{self.root}/CURRENT")
-        if not self.fs.exists(at):
+    def _tables(self, version: int) -> dict[str, str]:
+        if not version:
             return {}
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/CURRENT").collect()))
+        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/versions/{version:012d}").collect()))
+
+    def begin(self) -> None:
+        """Forget what was read before: the next commit follows the version of the next read."""
+        self.seen = None
+
+    def _current(self) -> int:
+        """The version that a commit will follow: that of the first read since the last commit."""
+        found = max(self.versions(), default=0)
+        self.seen = found if self.seen is None else self.seen
+        return found
 
     def read(self, name: str, schema: str | None = None) -> DataFrame | None:
         """The current snapshot of a table; an empty one of the schema, or None, before the first write."""
-        found = self._pointer().get(name)
+        found = self._tables(self._current()).get(name)
         if found:
             return self.spark.read.parquet(f"{self.root}/{found}")
         return self.spark.createDataFrame([], schema) if schema else None
 
     def commit(self, tables: dict[str, DataFrame]) -> None:
         """Write new snapshots of the tables, then switch to all of them at once."""
-        pointer, tag = self._pointer(), uuid.uuid4().hex
-        for name, df in tables.items():
-            df.write.parquet(f"{self.root}/{name}-{tag}")
-            pointer[name] = f"{name}-{tag}"
-        new = self._path(f"{self.root}/_next-{tag}")
-        out = self.fs.create(new, True)
-        out.write(bytearray(json.dumps(pointer).encode()))
-        out.close()
-        current = self._path(f"{self.root}/CURRENT")
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(current.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        rename = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        options = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = rename
-        context.rename(new, current, options)
+        self._current()
+        base, tag = self.seen, uuid.uuid4().hex
+        named = self._tables(base) | {name: f"{name}-{tag}" for name in tables}
+        try:
+            for name, df in tables.items():
+                df.write.parquet(f"{self.root}/{named[name]}")
+            at = self._path(f"{self.root}/versions/{base + 1:012d}")
+            if self.fs.exists(at):
+                raise ConcurrentWrite(f"version {base + 1} exists")
+            try:
+                out = self.fs.create(at, False)
+            except Exception as e:
+                raise ConcurrentWrite(f"version {base + 1} exists") from e
+            out.write(bytearray(json.dumps(named).encode()))
+            out.close()
+        except BaseException:
+            for name in tables:
+                self.fs.delete(self._path(f"{self.root}/{named[name]}"), True)
+            raise
+        finally:
+            self.seen = None
+        self.clean()
+
+    def clean(self) -> None:
+        """Delete versions but the last ones, and the snapshots that no version names any more."""
+        versions = self.versions()
+        kept, old = versions[-self.keep :], versions[: -self.keep]
+        needed = {t for v in kept for t in self._tables(v).values()}
+        gone = {t for v in old for t in self._tables(v).values()} - needed
+        for t in gone:
+            self.fs.delete(self._path(f"{self.root}/{t}"), True)
+        for v in old:
+            self.fs.delete(self._path(f"{self.root}/versions/{v:012d}"), False)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import centrality, export, extraction, graph_store, resolution, scoring, signals
+from tessera.operators import centrality, export, extraction, graph_store, property_store, resolution, scoring, signals
 from tessera.plans.config import AppConfig
 from tessera.sources import collect
 from tessera.sources.web import Fetcher
@@ -32,6 +32,11 @@ class Engine:
 
     def __post_init__(self):
         self.store = graph_store.SnapshotStore(self.spark, self.config.project.database_path)
+        self.connect = property_store.connector(self.config.graph.neo4j) if self.config.graph.backend == "neo4j" else None
+
+    def _evidence(self) -> DataFrame:
+        """Stored evidence; that of the older layout gets its cautious values."""
+        return graph_store.with_legacy_defaults(self.store.read("evidence", EVIDENCE)).select(*graph_store.EVIDENCE)
 
     def documents(self) -> DataFrame:
         """All stored documents, newest first."""
@@ -48,6 +53,7 @@ class Engine:
 
     def ingest(self, collected: DataFrame) -> int:
         """Insert or replace documents by id; the same address under another id is refused."""
+        self.store.begin()
         old = self.store.read("documents", DOCUMENT)
         collected = collected.select(*old.columns).persist()
         both = graph_store.upsert(old, collected, "id")
@@ -69,6 +75,7 @@ class Engine:
     def extract(self, provider: Callable[[DataFrame], DataFrame] | None = None) -> int:
         """Extract what has no valid extraction. provider: documents -> (document_id, entities, relations, warnings),
         whose results are grounded; without one, the catalogue is matched."""
+        self.store.begin()
         docs = self.store.read("documents", DOCUMENT)
         name, model, fingerprint = extraction.cache_identity(self.config)
         extraction.check_policy(fingerprint)
@@ -90,6 +97,7 @@ class Engine:
 
     def map_graph(self) -> dict[str, int]:
         """Resolve all valid extractions and replace the evidence of all stored documents."""
+        self.store.begin()
         docs = self.store.read("documents", DOCUMENT)
         valid = self._valid().persist()
         name, model, _ = extraction.cache_identity(self.config)
@@ -99,16 +107,18 @@ class Engine:
         names = resolution.distinct_names(resolution.mentioned(entities, relations))
         resolved = resolution.resolve_names(names, seeds, self.config.resolver.similarity_threshold).persist()
         found = resolution.resolve_relations(relations, resolved, docs, f"{name}:{model}").persist()
-        evidence, ends, observed = graph_store.upsert_relations(self.store.read("evidence", EVIDENCE), self.store.read("ends", ENDS), found, docs.select(F.col("id").alias("document_id")))
+        evidence, ends, observed = graph_store.upsert_relations(self._evidence(), self.store.read("ends", ENDS), found, docs.select(F.col("id").alias("document_id")))
         written = {"entities": resolved.count(), "edge_writes": found.count(), "evidence_writes": observed.count()}
         known = graph_store.upsert_entities(self.store.read("entities", ENTITY), resolution.canonical_entities(names, resolved, seeds))
         self.store.commit({"entities": known, "evidence": evidence, "ends": ends, "edges": graph_store.roll_up_edges(evidence, ends)})
+        if self.connect:
+            property_store.load(self.store.read("entities", ENTITY), found.dropDuplicates(["evidence_id"]), self.connect)
         return written
 
     def graph(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(entities, edges, evidence with the ends of its edge)."""
         edges = self.store.read("edges")
-        evidence = self.store.read("evidence", EVIDENCE)
+        evidence = self._evidence()
         if edges is None:
             edges = graph_store.roll_up_edges(evidence, self.store.read("ends", ENDS))
         return self.store.read("entities", ENTITY), edges, graph_store.all_evidence(evidence, edges)
