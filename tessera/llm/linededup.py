@@ -1,9 +1,11 @@
 """Line dedup: content-defined chunks of lines, repeated ones removed after byte comparison.
 
-A chunk ends after a line where a rolling hash over the last ROLL line hashes is 0 modulo DIVISOR.
-The place depends on those lines alone, so inserting or removing lines elsewhere moves no other
-boundary. Chunks of two lines or more whose hash occurs again anywhere are compared byte by byte;
-of each set of equal chunks the first by (doc_id, position) stays, the others go.
+A chunk ends after a line where a rolling hash over the last ROLL line hashes is 0 modulo DIVISOR and
+that isn't the chunk's only line. The place depends on those lines and on where the chunk began, so
+boundaries are the same again soon after lines that were inserted or removed. Chunks of two lines or more whose hash occurs again anywhere are compared byte by byte;
+of each set of equal chunks the first by (doc_id, position) stays, the others go. A passage that two
+otherwise different documents share loses the chunks that lie inside it: on average 9 % of its lines if it
+has 3 lines, 23 % of 5, 43 % of 8, 61 % of 12, 76 % of 20, 88 % of 40 (simulated; the rest are its ends).
 
 Edge cases: a null text is empty, and an empty text has one empty line; rows that repeat both id and
 text count as one document and get one result; a text of any length is cut whole; an empty table
@@ -23,7 +25,7 @@ from xxhash import xxh64_intdigest
 from tessera.llm.common import materialize, raw_texts, row_key, slices
 
 ROLL = 2
-DIVISOR = 4
+DIVISOR = 2
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 SCHEMA = "row binary, doc_id long, n_lines long, n_removed long, kept_sha256 string, text string"
@@ -39,7 +41,7 @@ def cut_lines(lines: list[bytes], roll: int = ROLL, divisor: int = DIVISOR) -> l
         rolled = 0
         for h in recent:
             rolled = (rolled * _MULTIPLIER + h) & _MASK
-        if (rolled >> 40) % divisor == 0:
+        if (rolled >> 40) % divisor == 0 and i > begin:
             out.append((begin, i + 1))
             begin = i + 1
     if begin < len(lines):
