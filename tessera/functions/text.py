@@ -107,12 +107,16 @@ def clamp01(x: Column) -> Column:
 _DATE_FORMATS = (
     "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XX", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm", "yyyy-MM-dd",
     "d MMM yyyy HH:mm:ss XX", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy/MM/dd", "yyyy/MM/dd HH:mm:ss",
+    "yyyy-MM-dd'T'HH:mmXXX", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm:ss[.SSSSSS]XXX", "yyyy-MM-dd HH:mm:ss XX", "yyyy-MM-dd HH:mm:ss z", "yyyyMMdd", "yyyyMMdd'T'HHmmss", "yyyyMMdd'T'HHmmssXX",
+    "M/d/yyyy", "M/d/yyyy HH:mm", "M/d/yyyy HH:mm:ss", "M/d/yyyy h:mm a", "M-d-yyyy", "d.M.yyyy", "d-MMM-yyyy", "d MMM yyyy HH:mm", "d MMMM yyyy HH:mm", "d MMMM yyyy HH:mm:ss", "d MMM yyyy HH:mm XX",
+    "MMM d yyyy", "MMMM d yyyy", "MMM d, yyyy HH:mm", "MMMM d, yyyy HH:mm", "MMM d, yyyy h:mm a", "MMMM d, yyyy h:mm a", "MMM d HH:mm:ss yyyy", "MMM d HH:mm:ss z yyyy", "MMM yyyy", "MMMM yyyy", "yyyy-MM",
 )
 
 
 def parse_datetime(x: Column | str) -> Column:
-    """Timestamp of common date texts (ISO, RFC 822, plain); null where none fits. No zone means the session's, UTC."""
-    bare = F.trim(F.regexp_replace(_col(x), "^\\s*[A-Za-z]{3,9},\\s*", ""))
+    """Timestamp of common date texts (ISO, RFC 822, plain, months first where both would do); null where none fits. No zone means the session's, UTC."""
+    bare = F.trim(F.regexp_replace(_col(x), "^\\s*(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\\s+", ""))
+    bare = F.regexp_replace(F.regexp_replace(bare, "(?i)(\\d)(st|nd|rd|th)\\b", "$1"), "\\s+", " ")
     return F.coalesce(*(F.try_to_timestamp(bare, F.lit(f)) for f in _DATE_FORMATS))
 
 

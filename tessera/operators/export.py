@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +40,11 @@ def repeated_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def write_json(rows: DataFrame, path: str) -> int:
-    """A ranking's few rows as one indented JSON file, non-ASCII kept; returns their number."""
+    """A ranking's few rows as one indented JSON file in whatever file system the path names, non-ASCII kept; returns their number."""
     body = [json.loads(r[0]) for r in rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(body, f, ensure_ascii=False, indent=2)
+    context = rows.sparkSession.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(context._jsc.hadoopConfiguration()).create(at, True)  # makes the folders above
+    out.write(bytearray(json.dumps(body, ensure_ascii=False, indent=2).encode()))
+    out.close()
     return len(body)

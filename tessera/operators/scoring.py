@@ -178,13 +178,20 @@ def review(found: DataFrame, evidence: DataFrame, samples: DataFrame, scoring: S
     )
 
 
-def discover_bridges(entities: DataFrame, edges: DataFrame, evidence: DataFrame, top_n: int = 10, scoring: Scoring = Scoring()) -> DataFrame:
-    """The reviewed bridges, best first, each with its newest evidence."""
+def reviewed(entities: DataFrame, edges: DataFrame, evidence: DataFrame, top_n: int = 10, scoring: Scoring = Scoring()) -> DataFrame:
+    """The candidates for the best bridges, three for each wanted; with their review unless it is switched off."""
     found = candidates(entities, edges, top_n * 3 if scoring.enabled else top_n)
+    if not scoring.enabled:
+        return found
+    pairs = centrality.project(edges)
+    nodes = entities.select(F.col("canonical_id").alias("node")).union(centrality.incidence(pairs).select("node"))
+    return review(found, evidence, centrality.null_betweenness(pairs, nodes, scoring.null_model_samples, scoring.null_model_seed), scoring)
+
+
+def discover_bridges(entities: DataFrame, edges: DataFrame, evidence: DataFrame, top_n: int = 10, scoring: Scoring = Scoring(), found: DataFrame | None = None) -> DataFrame:
+    """The reviewed bridges, best first, each with its newest evidence. found: reviewed(), where it is at hand."""
+    found = reviewed(entities, edges, evidence, top_n, scoring) if found is None else found
     if scoring.enabled:
-        pairs = centrality.project(edges)
-        nodes = entities.select(F.col("canonical_id").alias("node")).union(centrality.incidence(pairs).select("node"))
-        found = review(found, evidence, centrality.null_betweenness(pairs, nodes, scoring.null_model_samples, scoring.null_model_seed), scoring)
         found = found.orderBy(F.desc("final_score"), F.desc("bridge_score"), F.desc(F.size("source_sides")), "entity_id")
     newest = evidence_for_entities(evidence, 6).groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("rank", *PAYLOAD))).alias("evidence"))
     return found.limit(top_n).join(newest, "entity_id", "left")

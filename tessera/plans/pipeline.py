@@ -55,7 +55,8 @@ class Engine:
         """Insert or replace documents by id; the same address under another id is refused."""
         self.store.begin()
         old = self.store.read("documents", DOCUMENT)
-        collected = collected.select(*old.columns).persist()
+        # a document without a text or a title is none
+        collected = collected.select(*old.columns).where("trim(coalesce(text, '')) <> '' and trim(coalesce(title, '')) <> ''").persist()
         both = graph_store.upsert(old, collected, "id")
         if not export.repeated_keys(both, "url").isEmpty():
             raise ValueError("one address has two documents")
@@ -126,16 +127,13 @@ class Engine:
     def discover(self, top_n: int = 10) -> DataFrame:
         """Ranked bridges; also written as JSON. An empty graph writes nothing."""
         entities, edges, evidence = self.graph()
-        rows = scoring.discover_bridges(entities, edges, evidence, top_n, self.config.scoring).persist()
+        # ranked once; the reports cover every reviewed candidate
+        found = scoring.reviewed(entities, edges, evidence, top_n, self.config.scoring).persist()
+        rows = scoring.discover_bridges(entities, edges, evidence, top_n, self.config.scoring, found).persist()
         if not edges.isEmpty() or not entities.isEmpty():
             export.write_json(rows, f"{self.config.project.output_dir}/bridge_candidates.json")
             if self.config.scoring.enabled:
-                # the reports cover every reviewed candidate
-                pairs = centrality.project(edges)
-                found = scoring.candidates(entities, edges, 3 * top_n)
-                nodes = entities.select(F.col("canonical_id").alias("node"))
-                samples = centrality.null_betweenness(pairs, nodes, self.config.scoring.null_model_samples, self.config.scoring.null_model_seed)
-                export.write_json(scoring.review(found, evidence, samples, self.config.scoring).orderBy(F.desc("final_score"), "entity_id"), f"{self.config.project.output_dir}/skeptic_reports.json")
+                export.write_json(found.orderBy(F.desc("final_score"), "entity_id"), f"{self.config.project.output_dir}/skeptic_reports.json")
         return rows
 
     def signals(self) -> tuple[DataFrame, DataFrame]:
