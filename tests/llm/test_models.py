@@ -128,6 +128,14 @@ def test_class_bits_are_a_distribution():
         assert np.exp(logs[last]).sum() == pytest.approx(1.0, abs=1e-4)
 
 
+def test_class_weights_learn_from_every_training_document(spark):
+    """The probability map has seen each class bit of each token of all training documents."""
+    docs = [(k, " ".join(f"w{(k * j) % 13}" for j in range(k % 7 + 1))) for k in range(90)]
+    mixer = X.train_classes(spark.createDataFrame(docs, "doc_id long, text string"), 500)
+    tokens = sum(len(t.split()) + 1 for i, t in docs if not X.is_held_out(i))
+    assert mixer.seen.sum() - X.ClassMixer(None).seen.sum() == tokens * X.CLASS_BITS
+
+
 def brute_mixing(docs, classes, spelling):
     """Natural logarithm of each text's probability, word by word and bit by bit, from the trained mixers."""
     tokens = {i: (t or "").encode().lower().split() + [X.END] for i, t in docs}
