@@ -121,6 +121,36 @@ def test_near_copies_of_similarity_0_8(spark, monkeypatch, pivots):
     assert {r["doc_id"] for r in CP.near_copies(spark, docs, SF).collect()} == brute_heads({r["doc_id"]: r["text"] for r in docs.collect()})
 
 
+def test_near_copies_miss_no_pair(spark):
+    """A pair of similarity 0.8 that shares no bucket of five MinHash values in 24 tries."""
+    words = [f"w4751x{j}" for j in range(14)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:12])), (3, "another text that is not like them")], "doc_id long, text string")
+    assert {r["doc_id"] for r in CP.near_copies(spark, docs, SF).collect()} == {1, 3}
+
+
+def test_similar_sets_share_a_part():
+    """Pairs at the least similarity, of all small sizes and some larger ones: one key in common, and bins that don't rule them out."""
+    rng = np.random.default_rng(8)
+    for m in [*range(4, 130), 400, 1500] * 6:
+        n = int(rng.integers(-(-4 * m // 5), m + 1))
+        common = -(-4 * (n + m) // 9)
+        hashes = rng.permutation(np.unique(rng.integers(0, 1 << 64, 2 * m + 40, dtype=np.uint64)))
+        a, b = np.sort(hashes[:n]), np.sort(hashes[n - common : n - common + m])
+        assert nearcopies.similar_to(a, [b])[0]
+        assert n == m == common or np.intersect1d(nearcopies.part_keys(a), nearcopies.part_keys(b)).size
+        assert nearcopies.may_be_similar(nearcopies.bin_counts(a)[None], nearcopies.bin_counts(b)[None], np.array([n]), np.array([m]))[0]
+
+
+def test_hot_tiles_keep_rows_with_a_partner(spark, monkeypatch):
+    """Many sets in one bucket, cut into tiles, without pivots: groups as by all pairs."""
+    monkeypatch.setattr(nearcopies, "PIVOTS", 0)
+    monkeypatch.setattr(nearcopies, "TILE", 5)
+    rng, shared = np.random.default_rng(2), " ".join(f"s{j}" for j in range(60))
+    rows = [(k, " ".join([shared, *(f"u{k // 3}x{j}" for j in range(40)), *(f"v{k}x{j}" for j in range(int(rng.integers(1, 20))))])) for k in range(45)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in CP.near_copies(spark, docs, SF).collect()} == brute_heads(dict(rows))
+
+
 def test_tile_joins_are_complete():
     rng = np.random.default_rng(5)
     base = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (3, 40, 200, 900)]
