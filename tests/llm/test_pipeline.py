@@ -2,6 +2,7 @@ import collections
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as CP
@@ -151,6 +152,28 @@ def test_hot_tiles_keep_rows_with_a_partner(spark, monkeypatch):
     assert {r["doc_id"] for r in CP.near_copies(spark, docs, SF).collect()} == brute_heads(dict(rows))
 
 
+def test_pairs_of_many_buckets_are_found_once():
+    """Sets that share many buckets in several shards: each pair gives its rows once, and none is missed beyond the first keys."""
+    rng = np.random.default_rng(7)
+    keys = [np.sort(rng.choice(1 << 20, 60, replace=False)) for _ in range(3)]
+    sets = [(b"%02d" % k, np.sort(rng.choice(keys[k // 8], int(rng.integers(2, 50)), replace=False))) for k in range(24)]
+    tables = [[], [], [], []]
+    for k, (sig, own) in enumerate(sets):
+        for key in own.tolist():
+            tables[key % 4].append({"bucket": key * 31, "key": key, "side": 0, "sig": sig, "fp": 5, "group": sig, "n": 40, "bins": bytes(nearcopies.BINS), "firsts": own[: nearcopies.FIRST_KEYS].tolist(), "block": k // 4})
+    found = [(r["low"], r["high"], r["sig"]) for t in tables for r in nearcopies._live(pa.Table.from_pylist(rng.permutation(np.array(t, object)).tolist())).to_pylist()]
+    want, parted = set(), 0
+    for j, (b, keys_b) in enumerate(sets):
+        for i, (a, keys_a) in enumerate(sets[:j]):
+            if len(np.intersect1d(keys_a, keys_b)):
+                want |= {(i // 4, j // 4, a), (i // 4, j // 4, b)}
+                parted += not len(np.intersect1d(keys_a[: nearcopies.FIRST_KEYS], keys_b[: nearcopies.FIRST_KEYS]))
+    assert parted and set(found) == want
+    # one bucket for a pair, but for those with no first key in common
+    pairs = sum(len(np.intersect1d(a, b)) > 0 for j, (_, b) in enumerate(sets) for _, a in sets[:j])
+    assert len(found) <= 2 * pairs
+
+
 def test_tile_joins_are_complete():
     rng = np.random.default_rng(5)
     base = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (3, 40, 200, 900)]
