@@ -174,6 +174,17 @@ def test_pairs_of_many_buckets_are_found_once():
     assert len(found) <= 2 * pairs
 
 
+def test_sets_are_read_by_shuffle_at_every_size(spark, monkeypatch):
+    """A small list of sets isn't broadcast to the texts, as a large one couldn't be."""
+    plans, real = [], nearcopies.materialize
+    monkeypatch.setattr(nearcopies, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    texts = spark.createDataFrame([(b"r1", "a text of some words"), (b"r2", "another")], "row binary, text string")
+    distinct = spark.createDataFrame([(b"s1", (b"r1",)), (b"s2", (b"r2",))], "sig binary, least struct<row binary>")
+    found = nearcopies._sets_of_sigs(spark.createDataFrame([(b"s1",), (b"s1",)], "sig binary"), distinct, texts).collect()
+    assert [(bytes(r["sig"]), bytes(r["grams"])) for r in found] == [(b"s1", nearcopies.shingle_sets([b"a text of some words"])[0].tobytes())]
+    assert "SortMergeJoin" in plans[-1] and "BroadcastHashJoin" not in plans[-1]
+
+
 def test_tile_joins_are_complete():
     rng = np.random.default_rng(5)
     base = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (3, 40, 200, 900)]
