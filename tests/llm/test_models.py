@@ -128,6 +128,21 @@ def test_class_bits_are_a_distribution():
         assert np.exp(logs[last]).sum() == pytest.approx(1.0, abs=1e-4)
 
 
+def test_counts_without_the_own_one():
+    """The tables that learning looks up, against counts of which one is taken, slot by slot; slots against their formula."""
+    rng = np.random.default_rng(4)
+    table = rng.integers(0, 300, (X.CLASS_SLOTS, 2)).astype(np.float32)
+    inputs, sure = X.ClassMixer(table).without_own()
+    for slot in rng.integers(0, X.CLASS_SLOTS, 300).tolist():
+        for bit in (0, 1):
+            n = table[slot].astype(float)
+            n[bit] = max(0, n[bit] - 1)
+            assert inputs[slot * 2 + bit] == pytest.approx(math.log((n[1] + 0.2) / (n[0] + 0.2)), rel=1e-5, abs=1e-5)
+            assert sure[slot * 2 + bit] == int(min(7, math.log2(n.sum() + 1) / 2))
+    near = X.local_counts(np.array([0, 0, 0, 1, 1]), np.array([5, 255, 5, 5, 5]))
+    assert [near[k].tolist() for k in (0, 1, X.CLASS_BITS)] == [[0, 1, 2, 0, 1], [0, 0, 1, 0, 1], [0, 0, 1, 0, 1]]
+
+
 def test_class_weights_learn_from_every_training_document(spark):
     """The probability map has seen each class bit of each token of all training documents."""
     docs = [(k, " ".join(f"w{(k * j) % 13}" for j in range(k % 7 + 1))) for k in range(90)]
