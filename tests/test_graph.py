@@ -239,3 +239,14 @@ def test_null_scores(spark):
     values = np.array([0.1, 0.2, 0.5])
     assert rows["a"]["p_value"] == 0.5 and rows["a"]["z_score"] == pytest.approx((0.5 - values.mean()) / values.std())
     assert rows["b"]["samples"] == 0 and rows["b"]["p_value"] == 1.0 and rows["b"]["null_score"] == 0.0 and rows["b"]["null_notes"] == ["insufficient_graph_for_null_model"]
+
+
+def test_null_mean_does_not_depend_on_the_order_of_samples(spark):
+    """The samples' mean is 0.45, the observed value, in exact numbers; sums of doubles miss it in some orders."""
+    parts = [(51041 * 7 + k * 12) % 11 / 11 for k in range(20)]
+    orders = {"up": parts, "down": parts[::-1], "least": sorted(parts), "greatest": sorted(parts, reverse=True)}
+    assert len({float(np.cumsum(o)[-1]) for o in orders.values()}) > 1
+    found = spark.createDataFrame([(e, 0.45) for e in orders], "entity_id string, bridge_score double")
+    samples = spark.createDataFrame([(e, b) for e, o in orders.items() for b in o], "node string, betweenness double").coalesce(1)
+    rows = S.null_model(found, samples).collect()
+    assert len(rows) == len(orders) and all(r["null_mean"] == 0.45 and r["z_score"] == 0 and "not_above_null_mean" in r["null_notes"] for r in rows)
