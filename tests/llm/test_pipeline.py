@@ -196,6 +196,16 @@ def test_tile_joins_are_complete():
         assert groups_of(range(len(sets)), nearcopies.tile_joins(sets, fps, np.arange(len(sets)), side)) == groups_of(range(len(sets)), want)
 
 
+def test_fingerprints_rule_out_no_similar_sets():
+    """Sets of a similarity of 0.9 are linked whatever bits of their fingerprints differ."""
+    rng = np.random.default_rng(3)
+    whole = np.unique(rng.integers(0, 1 << 63, 200).astype(np.uint64))
+    sets, fps, sigs = [whole, whole[:180]], np.array([0, (1 << 64) - 1], np.uint64), [b"a", b"b"]
+    assert nearcopies.tile_joins(sets, fps, np.arange(2), np.zeros(2, int)) == [(0, 1)]
+    rows = [{"bucket": 1, "key": 1, "side": 0, "sig": g, "fp": int(f), "group": g, "n": len(x), "bins": nearcopies.bin_counts(x).tobytes(), "firsts": [1], "block": 0} for g, f, x in zip(sigs, fps.view(np.int64), sets)]
+    assert sorted(r["sig"] for r in nearcopies._live(pa.Table.from_pylist(rows)).to_pylist()) == sigs
+
+
 def test_quality_judges_texts_under_one_id_each(spark, tmp_path):
     good, bad = "a fine sentence about rivers and hills . " * 4, "|| {{ ]] << >> 77 || "
     rows = [(k, f"{good}{k}" if k % 2 else f"{bad * 4}{k}") for k in range(80)] + [(500, good), (500, bad * 4), (None, good), (None, bad * 4)]
