@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import graph_store, scoring
+from tessera.operators import centrality, graph_store, scoring
 from tessera.plans import registry
 from tessera.sources import adapters
 from tests.conftest import TESTDATA
@@ -60,3 +60,24 @@ def test_corpus_steps_are_kept_without_whole_documents(spark):
     aliases = registry.QUERIES["alias_sets"](spark, SF)._jdf.queryExecution().withCachedData().toString()
     assert re.search(r"InMemoryRelation \[norm#\d+, entity_type#\d+, name", aliases)
     spark.catalog.clearCache()
+
+
+def test_parts_of_the_join_follow_the_tables(spark, shuffled, monkeypatch):
+    """Both joins of the facts are cut by bytes, not by Spark's fixed number; so is what tells repeats apart."""
+    each = max(1, adapters.stored(adapters.table(spark, SF, "lineitem")) // 9)
+    monkeypatch.setitem(adapters.small_parts.__kwdefaults__, "each", each)
+    cut = {k: int(n) for k, n in re.findall(r"hashpartitioning\((\w+)#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan(registry._evidence(spark, SF)))}
+    assert cut["l_orderkey"] == cut["o_orderkey"] >= 9
+    monkeypatch.setitem(adapters.small_parts.__kwdefaults__, "each", 1 << 30)
+    assert "REPARTITION_BY_NUM" not in plan(registry._evidence(spark, SF))
+
+
+def test_thresholded_pairs_read_the_facts_once(spark, monkeypatch):
+    """Counts and edges come from one sum, and the pairs are those of all relations."""
+    calls, facts = [], adapters.facts
+    monkeypatch.setattr(adapters, "facts", lambda *a, **k: calls.append(1) or facts(*a, **k))
+    pairs = registry._thresholded_pairs(spark, SF)[1].collect()
+    assert len(calls) == 1
+    every = {(r.u, r.v): r.source_sides for r in centrality.project(graph_store.edges_of(adapters.relations(spark, SF))).collect()}
+    assert pairs and all(every[r.u, r.v] == r.source_sides for r in pairs)
+    spark.catalog.clearCache()
