@@ -1,6 +1,8 @@
 import collections
 import math
+import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -424,3 +426,27 @@ def test_licenses_odd(spark, odd_docs, no_docs):
     rows = LI.scan_licenses(odd_docs).collect()
     assert len(rows) == odd_docs.count() and {r["families"] for r in rows} == {""}
     assert LI.scan_licenses(no_docs).count() == 0
+
+
+def test_spelling_steps_take_little_memory(monkeypatch):
+    """Counting takes slots for some words at a time; learning and giving out a table don't copy it."""
+    words = [b"%x" % (k * 2654435761 % (1 << 40)) for k in range(1 << 15)]
+    table = np.zeros((2, SP.SLOTS), np.int32)
+    whole = np.zeros_like(table)
+    for a in range(0, len(words), 1000):
+        SP.count_bits(words[a : a + 1000], whole)
+    lying = np.ascontiguousarray(whole.astype(np.float32).T).T
+    monkeypatch.setattr(X, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    steps = {
+        "count": lambda: SP.count_bits(words, table),
+        "learn": lambda: SP.Mixer(lying).learn(words[:5000]),
+        "emit": lambda: collections.deque(X.emitted(whole), maxlen=0),
+    }
+    next(X.emitted(whole[:, :1]))  # what is imported on first use
+    for name, step in steps.items():
+        tracemalloc.start()
+        step()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 20e6, (name, peak)
+    assert (table == whole).all()
