@@ -5,6 +5,7 @@ import zlib
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from tessera.llm import mixing as X
 from tessera.llm import packing as PK
 from tessera.llm import quality as Q
 from tessera.llm import spelling as SP
+from tessera.llm.common import raw_texts
 from tests.conftest import TESTDATA
 
 
@@ -450,3 +452,25 @@ def test_spelling_steps_take_little_memory(monkeypatch):
         tracemalloc.stop()
         assert peak < 20e6, (name, peak)
     assert (table == whole).all()
+
+
+def test_scoring_takes_little_memory():
+    """Texts are scored some at a time, with the same numbers as all at once; learning keeps the larger parts that its pace depends on."""
+    words = [b"%x" % (k * 2654435761 % 5003) for k in range(20_000)]
+    texts = [b" ".join(words[k : k + 150 + 400 * (k % 7 == 0)]) for k in range(0, 19_000, 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], ["doc_id", "text"])
+    table = np.zeros((X.CLASS_SLOTS, 2), np.float32)
+    X.count_classes(stream := X.Stream(texts[:300]), np.arange(len(stream.hash)), table)
+    mixer = X.ClassMixer(table)
+    mixer.freeze()
+    known = X.Known(mixer, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1 << X.CLASS_BITS))
+    whole = [c.to_pylist() for c in X._score_batch(known, texts, [None] * len(texts))]
+    parts, peak = [], 0
+    for part in X.slices([batch], 1, X.SLICE_BYTES):
+        tracemalloc.start()
+        parts.append(X._score_batch(known, raw_texts(part.column(1)), [None] * part.num_rows))
+        peak = max(peak, tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert sum(map(len, texts)) > 4 << 20 and peak < 120e6
+    assert whole == [[x for p in parts for x in p[k].to_pylist()] for k in range(len(whole))]
+    assert X.LEARN_BYTES == 4 << 20 and X.local_counts(stream.doc, stream.classes())[1].dtype == np.int32
