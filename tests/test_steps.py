@@ -72,6 +72,18 @@ def test_parts_of_the_join_follow_the_tables(spark, shuffled, monkeypatch):
     assert "REPARTITION_BY_NUM" not in plan(registry._evidence(spark, SF))
 
 
+def test_suppliers_are_joined_in_small_parts_or_by_broadcast(spark, shuffled, monkeypatch):
+    """Where suppliers don't fit a broadcast, lines meet them in parts that follow the table, too; else lines don't move for it."""
+    each = max(1, adapters.stored(adapters.table(spark, SF, "lineitem")) // 9)
+    monkeypatch.setitem(adapters.small_parts.__kwdefaults__, "each", each)
+    cut = {k: int(n) for k, n in re.findall(r"hashpartitioning\((\w+)#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan(registry._evidence(spark, SF)))}
+    assert cut["l_suppkey"] == cut["s_suppkey"] >= 9
+    every = sorted(map(str, registry._evidence(spark, SF).select("evidence_id").collect()))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(l_suppkey" not in plan(registry._evidence(spark, SF))
+    assert every == sorted(map(str, registry._evidence(spark, SF).select("evidence_id").collect()))
+
+
 def test_thresholded_pairs_read_the_facts_once(spark, monkeypatch):
     """Counts and edges come from one sum, and the pairs are those of all relations."""
     calls, facts = [], adapters.facts
