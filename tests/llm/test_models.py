@@ -474,3 +474,33 @@ def test_scoring_takes_little_memory():
     assert sum(map(len, texts)) > 4 << 20 and peak < 120e6
     assert whole == [[x for p in parts for x in p[k].to_pylist()] for k in range(len(whole))]
     assert X.LEARN_BYTES == 4 << 20 and X.local_counts(stream.doc, stream.classes())[1].dtype == np.int32
+
+
+def test_counts_of_a_document_take_few_sorts(monkeypatch):
+    """Every second level is summed up from the order of the one before; documents are counted some at a time, with the same numbers."""
+    rng, sorts, argsort = np.random.default_rng(5), [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: sorts.append(1) or argsort(*a, **k))
+    for n, top in ((0, 1), (1, 256), (700, 4), (700, 256)):
+        doc, classes = np.sort(rng.integers(0, 1 + n // 40, n)), rng.integers(0, top, n)
+        want, seen = [], collections.Counter()
+        for level in range(X.CLASS_BITS + 1):
+            keys = [(level, d, k >> (X.CLASS_BITS - level)) for d, k in zip(doc.tolist(), classes.tolist())]
+            want.append([seen.update([key]) or seen[key] - 1 for key in keys])
+        sorts.clear()
+        whole = X.local_counts(doc, classes)
+        assert len(sorts) <= X.CLASS_BITS // 2
+        assert [x.tolist() for x in whole] == want
+        with monkeypatch.context() as few:
+            few.setattr(X, "COUNT_BATCH", 16)
+            assert [x.tolist() for x in X.local_counts(doc, classes)] == want
+
+
+def test_words_of_documents_are_sorted_by_keys(monkeypatch):
+    """The order by document, word and place is that of lexsort(), for words that share a document or a hash, too."""
+    texts = [b"a b a  b c", b"", b"b a b", b" ".join(b"%d" % (k % 37) for k in range(500))]
+    stream = X.Stream(texts)
+    want = np.lexsort((stream.hash, stream.doc)).tolist()
+    monkeypatch.setattr(np, "argsort", None)
+    assert stream.by_word().tolist() == want
+    stream.hash = stream.hash & np.uint64(3)  # hashes that keys don't tell apart
+    assert stream.by_word().tolist() == np.lexsort((stream.hash, stream.doc)).tolist()
