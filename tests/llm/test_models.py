@@ -14,7 +14,7 @@ from tessera.llm import mixing as X
 from tessera.llm import packing as PK
 from tessera.llm import quality as Q
 from tessera.llm import spelling as SP
-from tessera.llm.common import raw_texts
+from tessera.llm.common import mix64, raw_texts, scan_words
 from tests.conftest import TESTDATA
 
 
@@ -504,3 +504,16 @@ def test_words_of_documents_are_sorted_by_keys(monkeypatch):
     assert stream.by_word().tolist() == want
     stream.hash = stream.hash & np.uint64(3)  # hashes that keys don't tell apart
     assert stream.by_word().tolist() == np.lexsort((stream.hash, stream.doc)).tolist()
+
+
+def test_words_are_found_at_every_byte():
+    """Words, their places and hashes are those of a plain scan, next to every byte and of lengths around the steps of eight."""
+    texts = [bytes([97, k, 98]) for k in range(256)] + [b"", b" \t", *(b"x" * (k - 1) + b"y\x0b" + b"z" * k for k in (1, 7, 8, 9, 16, 17, 63, 64))]
+    hashes, start, end, counts, joined = scan_words(texts)
+    assert [joined[a:b] for a, b in zip(start.tolist(), end.tolist())] == b"\n".join(texts).split() and counts.tolist() == [len(t.split()) for t in texts]
+    odd = 0x9E3779B97F4A7C15
+    for h, word in zip(hashes.tolist(), b"\n".join(texts).split()):
+        own = len(word) * odd % (1 << 64)
+        for k in range(0, len(word), 8):
+            own = (int(mix64(np.array([own ^ int.from_bytes(word[k : k + 8], "little")], np.uint64))[0]) + k) % (1 << 64)
+        assert h == int(mix64(np.array([own], np.uint64))[0])
